@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .op2_secrets import op2_secret_scan
+from .op3_embeddings import op3_embedding_dedup
+from .op5_language import op5_language_id
+from .op6_minhash import op6_minhash_dedup
 from .op7_licenses import ORACLE as OP7_SQL
 from .op7_licenses import op7_license_scan
 from .op8_mix import op8_mix_sources
 from .op9_line_dedup import ORACLE as OP9_SQL
 from .op9_line_dedup import op9_line_dedup
+from .op10_tokens import op10_token_output
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op7_license_scan, op8_mix_sources, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_embedding_dedup, op5_language_id, op6_minhash_dedup, op7_license_scan, op8_mix_sources, op9_line_dedup, op10_token_output)}
 ORACLES = {"op7_license_scan": OP7_SQL, "op9_line_dedup": OP9_SQL}
