@@ -210,11 +210,12 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of keep, lang_pred and score of every row; the text alone is looked at."""
-    inner = docs.select("doc_id", *keep, "text")
+def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of keep, then the label and its score under the names of into; the text alone is looked at."""
+    inner = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
-    return inner.mapInArrow(_predict(model), f"{fields}, lang_pred string, score double").select("doc_id", *keep, "lang_pred", "score")
+    named = inner.mapInArrow(_predict(model), f"{fields}, lang_pred string, score double")
+    return named.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), F.col("lang_pred").alias(into[0]), F.col("score").alias(into[1]))
 
 
 def language_model(docs: DataFrame) -> Model | None:
@@ -223,4 +224,4 @@ def language_model(docs: DataFrame) -> Model | None:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, language_model(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(docs, language_model(docs), ("doc_id",)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
