@@ -1,5 +1,61 @@
-"""placeholder until the stages exist"""
-STAGES: list = []
+"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, token output.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs. All but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelspark.llm.common import stage, table
+from reelspark.llm.op4_decontaminate import overlaps
+from reelspark.llm.op5_language import UND, identify, language_model
+from reelspark.llm.op6_minhash import near_duplicates
+from reelspark.llm.op8_mix import mix_documents
+from reelspark.llm.op10_tokens import token_output
+
+#: A text goes when its words speak less clearly than this for any one language.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected: texts without a letter, and those without a language that has LEAST_SCORE."""
+    named = identify(docs, language_model(docs), tuple(docs.columns), ("_label", "_clear"))
+    return named.where((F.col("_label") != UND) & (F.col("_clear") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one of least doc_id."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.dropDuplicates(["doc_id"]).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    found = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(stage(found), F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; those that it does not take go."""
+    return mix_documents(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the token files."""
+    return token_output(docs)
+
+
+STAGES = [("language_id", language_id), ("minhash_dedup", minhash_dedup), ("decontaminate", decontaminate), ("mix_sources", mix_sources), ("token_files", token_files)]
+
+#: Learned labels, sketches and code books have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
