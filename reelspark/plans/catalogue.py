@@ -1,4 +1,6 @@
-"""Queries of the engine and their oracle SQL."""
+"""Queries of the engine and their oracle SQL: importing the topics fills the registry."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import manifests  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
