@@ -19,15 +19,20 @@ def fold(a: Column, f=lambda x: x) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def mean(a: Column) -> Column:
     return fold(a) / F.size(a)
 
 
 def layer_norm(a: Column, eps: float = 1e-5) -> Column:
     """(x - mean) / sqrt(population variance + eps)."""
-    m = mean(a)
-    v = fold(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a)
-    return F.transform(a, lambda x: (x - m) / F.sqrt(v + eps))
+    spread = lambda c: F.sqrt(fold(c, lambda x: x * x) / F.size(c) + eps)
+    centred = let(mean(a), lambda m: F.transform(a, lambda x: x - m))
+    return let(centred, lambda c: let(spread(c), lambda s: F.transform(c, lambda x: x / s)))
 
 
 def chunk_layer_norm(a: Column, chunks: int, width: int, eps: float = 1e-5) -> Column:
@@ -36,10 +41,8 @@ def chunk_layer_norm(a: Column, chunks: int, width: int, eps: float = 1e-5) -> C
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    total = fold(e)
-    return F.transform(e, lambda x: x / total)
+    e = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return let(e, lambda e: let(fold(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def sigmoid(x: Column) -> Column:
@@ -65,8 +68,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def cross_entropy(logits: Column, label: Column) -> Column:
     """log-softmax negative log-likelihood; label is 0-based."""
-    top = F.array_max(logits)
-    return F.ln(fold(logits, lambda x: F.exp(x - top))) + top - F.get(logits, label)
+    total = let(F.array_max(logits), lambda top: F.ln(fold(logits, lambda x: F.exp(x - top))) + top)
+    return total - F.get(logits, label)
 
 
 def focal_terms(logits: Column, label: Column, alpha: float = 0.25, gamma: float = 2.0) -> Column:
