@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import manifests, metrics, vectors, windows  # noqa: F401
+from . import generators, manifests, metrics, vectors, windows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
