@@ -23,7 +23,7 @@ from .common import WORD, stage, table
 
 #: Documents of one source and length are ranked in parts of about this many, so that a hot length is not one task.
 PART = 4096
-#: Budget left for the knapsack after whole shares and a greedy fill; bounds the bit sets (bits).
+#: Bounds the bit sets of the knapsack (bits); a greedy fill leaves it at most half of that.
 KNAPSACK = 1 << 16
 
 
@@ -48,10 +48,47 @@ def fill(caps: list[int], weights: list[int], total: int) -> list[float]:
     return [float(t) for t in target]
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, at most counts, so that the words come nearest to budget.
+def knapsack(lengths: np.ndarray, rooms: list[np.ndarray], budget: int) -> tuple[np.ndarray, int]:
+    """(how many of each length to add, words over or under budget) nearest to budget, by bit sets of reachable sums.
 
-    Never over it, except where a single word less than all would be needed. lengths are distinct and positive.
+    Of the rooms, bounds per length, the first is used alone if it can hit the budget.
+    """
+    add = np.zeros(len(lengths), dtype=np.int64)
+    if budget <= 0 or not len(lengths):
+        return add, -budget
+    space = min(max(budget, KNAPSACK), budget + int(lengths.max()))
+    mask, reach, steps = (1 << (space + 1)) - 1, 1, []
+    for room in rooms:
+        for i in np.argsort(lengths, kind="stable").tolist():
+            length = int(lengths[i])
+            spare, size = min(int(room[i]), space // length), 1
+            while spare > 0 and not reach >> budget & 1:  # a bounded count as parts 1, 2, 4, ... and the rest
+                part = min(size, spare)
+                before = reach
+                reach |= (reach << (part * length)) & mask
+                if reach != before:
+                    steps.append((i, part, before))
+                spare -= part
+                size *= 2
+    best = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    above = reach >> (budget + 1)
+    if above and (over := (above & -above).bit_length()) < budget - best:
+        best = budget + over
+    gap = best - budget
+    for i, part, before in reversed(steps):
+        if not before >> best & 1:
+            add[i] += part
+            best -= part * int(lengths[i])
+    return add, gap
+
+
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = 1) -> np.ndarray:
+    """How many documents of each length to take so that the words come nearest to budget, which is at most all words.
+
+    Every length gives the same share first. Then the rounding loss is filled, largest lengths first, and the rest
+    fitted by the knapsack, with second and further copies, up to most of a document, only where first ones can't
+    hit the budget. Where a few long documents leave a gap, the knapsack starts from nothing instead, if it can.
+    lengths are distinct and positive.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     have = int((lengths * counts).sum())
@@ -59,36 +96,19 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return counts.copy()
     take = np.array([int(c) * budget // have for c in counts], dtype=np.int64)
     left = budget - int((take * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):  # the rounding loss, largest lengths first, down to the knapsack
-        if left <= KNAPSACK:
+    for i in np.argsort(-lengths, kind="stable"):
+        if left <= KNAPSACK // 2:
             break
-        more = min(int(counts[i] - take[i]), (left - KNAPSACK // 2) // int(lengths[i]))
+        more = min(int(counts[i] - take[i]), (left - KNAPSACK // 4) // int(lengths[i]))
         if more > 0:
             take[i] += more
             left -= more * int(lengths[i])
-    space = min(left, KNAPSACK)
-    if space <= 0:
-        return take
-    mask, reach, steps = (1 << (space + 1)) - 1, 1, []
-    for i in np.argsort(lengths, kind="stable"):
-        length, spare = int(lengths[i]), min(int(counts[i] - take[i]), space // int(lengths[i]))
-        size = 1
-        while spare > 0 and not reach >> space & 1:  # a bounded count as parts 1, 2, 4, ... and the rest
-            part = min(size, spare)
-            before = reach
-            reach |= (reach << (part * length)) & mask
-            if reach != before:
-                steps.append((i, part, before))
-            spare -= part
-            size *= 2
-        if reach >> space & 1:
-            break
-    best = reach.bit_length() - 1
-    for i, part, before in reversed(steps):
-        if not before >> best & 1:
-            take[i] += part
-            best -= part * int(lengths[i])
-    return take
+    add, gap = knapsack(lengths, [counts - take, counts * (most - 1)], left)
+    if abs(gap) > budget // 100 and budget <= KNAPSACK:
+        anew, other = knapsack(lengths, [counts, counts * (most - 1)], budget)
+        if abs(other) < abs(gap):
+            return anew
+    return take + add
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, share: float = 1.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -112,8 +132,9 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
         some = pdf["size"].to_numpy() > 0
         extra = np.zeros(len(pdf), dtype=np.int64)
         if times < cap:
-            extra[some] = fit_counts(pdf["size"].to_numpy()[some], pdf["n"].to_numpy()[some], int(round(target)) - times * words)
-        return pdf.assign(extra=extra, times=times, source_size=words, target=float(target))
+            extra[some] = fit_counts(pdf["size"].to_numpy()[some], pdf["n"].to_numpy()[some], int(round(target)) - times * words, cap - times)
+        n = pdf["n"].to_numpy()
+        return pdf.assign(extra=extra % n, times=times + extra // n, source_size=words, target=float(target))
 
     lengths = stage(sized.groupBy("skey", "size").agg(F.count("*").alias("n")).groupBy("skey").applyInPandas(fit, "skey string, size long, n long, extra long, times long, source_size long, target double"))
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
