@@ -6,7 +6,7 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import stage, table
@@ -27,9 +27,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of least doc_id."""
+    """One document of each group of near copies stays, the one of least doc_id; of repeated rows one stays."""
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    left = docs.join(stage(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    left = left.withColumn("_again", F.row_number().over(again))
+    return left.where((F.col("_again") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
