@@ -184,3 +184,53 @@ def apply_to_clips(function: Callable[[np.ndarray], np.ndarray]) -> Callable[[Co
         return pd.DataFrame({"data": [None if o is None else np.ascontiguousarray(o, np.float32).tobytes() for o in out], "shape": [None if o is None else list(o.shape) for o in out]})
 
     return run
+
+
+def to_tensor_signed(clip: np.ndarray) -> np.ndarray:
+    """uint8 [T, H, W, C] -> float32 [C, T, H, W] in [-1, 1]."""
+    return to_tensor(clip, 127.5) - np.float32(1.0)
+
+
+def compose(*steps: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    def run(clip: np.ndarray) -> np.ndarray:
+        for step in steps:
+            clip = step(clip)
+        return clip
+
+    return run
+
+
+def train_clip(clip: np.ndarray, plan: dict, size: int, mean=MEAN, std=STD) -> np.ndarray:
+    """Augment, crop and resize, flip, normalise, erase, pad: as a plan of drawn values says.
+
+    plan: ops [(name, argument)], box (i, j, h, w), flip, erase (i, j, h, w) or None, frames or None. The values come
+    from columns (operators.policy, operators.boxes), so a clip's augmentation does not depend on where it runs.
+    """
+    for name, argument in plan.get("ops", ()):
+        clip = policy_op(clip, name, argument)
+    i, j, h, w = plan["box"]
+    out = resize(crop(clip, i, j, h, w), size, size)
+    if plan.get("flip"):
+        out = flip(out)
+    out = normalize(to_tensor(out), mean, std)
+    if plan.get("erase"):
+        y, x, eh, ew = plan["erase"]
+        out = erase(out.transpose(1, 2, 3, 0), y, x, eh, ew, plan.get("fill", "const"), np.random.default_rng(plan.get("seed", 0))).transpose(3, 0, 1, 2)
+    if plan.get("frames"):
+        out = frame_pad(out.transpose(1, 0, 2, 3), plan["frames"]).transpose(1, 0, 2, 3)
+    return out
+
+
+def eval_views(clip: np.ndarray, size: int, views: int, mean=MEAN, std=STD) -> list[np.ndarray]:
+    """Normalised square crops along the longer side of the clip at short side size; one view is the centre."""
+    small = resize_short(clip, size)
+    h, w = small.shape[1:3]
+    room = max(h, w) - size
+    starts = [round(room / 2)] if views == 1 else [k * (room // (views - 1)) for k in range(views)]
+    cuts = [(s, 0) if h > w else (0, s) for s in starts]
+    return [normalize(to_tensor(crop(small, y, x, size, size)), mean, std) for y, x in cuts]
+
+
+def resize_positions(table: np.ndarray, grid: tuple[int, int], new: tuple[int, int]) -> np.ndarray:
+    """A position table [H * W, D] interpolated to another grid."""
+    return resize(table.reshape(1, *grid, -1), *new).reshape(new[0] * new[1], -1)

@@ -277,3 +277,38 @@ def test_count_batches(spark):
     df = spark.range(10)
     assert streams.count_batches(df, "id", 4).groupBy("batch_id").count().count() == 3
     assert streams.count_batches(df, "id", 4, drop_last=True).count() == 8
+
+
+def test_read_clips(spark):
+    from reelspark.operators import hooks
+
+    def decoder(path):
+        if path == "broken":
+            raise OSError("cannot open")
+        return 10, lambda frames: np.array([[[[f]]] for f in frames], dtype=np.uint8)
+
+    plan = spark.createDataFrame([("a", 0, [0, 2]), ("a", 1, [9, 10]), ("broken", 0, [0]), ("b", 5, [])], "path string, clip_id long, frames array<long>")
+    got = {(r.path, r.clip_id): r for r in hooks.read_clips(plan, decoder).collect()}
+    assert got["a", 0].shape == [2, 1, 1, 1] and bytes(got["a", 0].data) == b"\x00\x02" and got["a", 0].error is None
+    assert "IndexError" in got["a", 1].error and "cannot open" in got["broken", 0].error and got["b", 5].data is None
+
+
+def test_models_and_guards(spark):
+    from reelspark.operators import hooks
+
+    with pytest.raises(KeyError):
+        hooks.score("none")
+    df = spark.createDataFrame([([1.0, 2.0],), (None,)], "x array<double>")
+    assert [r[0] for r in df.select(hooks.score("identity")("x")).collect()] == [[1.0, 2.0], None]
+    with pytest.raises(Exception, match="NaN"):
+        spark.range(1).select(hooks.no_nan(F.lit(float("nan")))).collect()
+
+
+def test_clip_pipelines():
+    clip = np.random.default_rng(1).integers(0, 255, (4, 30, 40, 3), dtype=np.uint8)
+    out = X.train_clip(clip, {"ops": [("Invert", 0)], "box": (2, 3, 20, 20), "flip": True, "erase": (0, 0, 4, 4), "frames": 6}, 16)
+    assert out.shape == (3, 6, 16, 16) and (out[:, :, :4, :4] == 0).all()
+    views = X.eval_views(clip, 24, 3)
+    assert len(views) == 3 and all(v.shape == (3, 4, 24, 24) for v in views) and not np.allclose(views[0], views[2])
+    assert X.compose(X.flip, X.flip)(clip).tobytes() == clip.tobytes() and X.to_tensor_signed(clip).min() >= -1
+    assert X.resize_positions(np.ones((16, 8)), (4, 4), (6, 6)).shape == (36, 8)
