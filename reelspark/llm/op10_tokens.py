@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import functools
 import itertools
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import scratch, stage, table
 
 FILE_IDS, BLOCK_IDS, MAX_BITS = 1 << 21, 1 << 10, 18
+#: Bytes of text that are encoded together.
+PIECE_BYTES = 8 << 20
 #: Stands for a null doc_id in a file.
 NO_ID = -(1 << 63)
 HEAD = "<4sIQQII"
@@ -52,18 +54,26 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The slices of flat that begin at starts, one after another."""
+    ends = np.cumsum(lengths)
+    if not len(ends):
+        return flat[:0]
+    return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
+
+
 class Encoder:
     """Ids of texts, the same as the tokenizer's encode(text, add_special_tokens=False).
 
     No token, special or not, reaches over a space or a line feed in tokenizers that drop white space, so a text's
-    ids are those of its pieces between them. Pieces of Latin-1 letters and ASCII marks after them go to the tokenizer's
-    model in these two parts, as its pre-tokeniser would give them; other pieces are encoded together, parted by a
-    lone NUL that is a token of its own. Ids of pieces and parts met lately are kept. A tokenizer without these
-    properties, which are tried on examples, encodes whole texts.
+    ids are those of its pieces between them, and a batch's distinct pieces are enough. Pieces of Latin-1 letters
+    and ASCII marks after them go to the tokenizer's model in these two parts, as its pre-tokeniser would give them;
+    other pieces are encoded together, parted by a lone NUL that is a token of its own. Ids of parts met lately are
+    kept. A tokenizer without these properties, which are tried on examples, encodes whole texts.
     """
 
     KEEP = 600_000
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+    PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
     TRIES = ("Ab \0\n cD", "Élan vît, ÀÖØöøÿß. The end. (x) Don't, 'S it's: <|endoftext|> a_b É1é x--", " a  b\n\nc, ")
 
     def __init__(self, path: str):
@@ -71,84 +81,88 @@ class Encoder:
 
         self.one = Tokenizer.from_file(path)
         self.model = self.one.model
+        self.kind = np.dtype("<u2") if self.one.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         nul = self.ids("\0")
         self.part = nul[0] if len(nul) == 1 else None
-        self.clear()
-        if self.part is not None and any(self.encode([t], 0)[0].tolist()[:-1] != self.ids(t) for t in self.TRIES):
+        self.rows: dict[str, int] = {}
+        self.starts, self.lengths, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.kind)
+        if self.part is not None and any(self.encode(pa.array([t]), 0)[0].tolist()[:-1] != self.ids(t) for t in self.TRIES):
             self.part = None
 
     def ids(self, text: str) -> list[int]:
         return self.one.encode(text, add_special_tokens=False).ids
 
-    def clear(self) -> None:
-        self.memo, self.parts = {"": 0}, {"": []}
-        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32)
-
     def _shrink(self) -> None:
-        """Keep the half that was met first: frequent pieces come early."""
+        """Keep the half that was met first: frequent parts come early."""
         n = self.KEEP // 2
-        self.memo, self.parts = dict(itertools.islice(self.memo.items(), n)), dict(itertools.islice(self.parts.items(), n))
+        self.rows = dict(itertools.islice(self.rows.items(), n))
         self.starts, self.lengths = self.starts[:n].copy(), self.lengths[:n].copy()
         self.flat = self.flat[: int(self.starts[-1] + self.lengths[-1])].copy()
 
-    def _model(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            shown = part if part.isascii() else part.encode().decode("latin-1").translate(BYTES)
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(shown)]
-        return ids
-
-    def _learn(self, pieces: list[str]) -> None:
-        flat: list[int] = []
-        sizes, names, rest = [], [], []
-        for p in pieces:
-            m = self.PLAIN.fullmatch(p)
-            if m:
-                ids = self._model(m[1].lower()) + self._model(m[2])
-            elif "\0" in p:
-                ids = self.ids(p)
-            else:
-                rest.append(p)
-                continue
-            flat += ids
-            sizes.append(len(ids))
-            names.append(p)
+    def _learn(self, names: list[str], ids: list[list[int]]) -> None:
+        lengths = np.array([len(x) for x in ids], dtype=np.int64)
+        starts = len(self.flat) + np.cumsum(lengths) - lengths
+        self.rows.update(zip(names, range(len(self.rows), len(self.rows) + len(names)), strict=True))
+        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], dtype=self.kind)])
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+
+    def _plain(self, parts: pa.Array) -> np.ndarray:
+        """Rows of parts that are pre-tokens as they are; null and empty parts have no ids."""
+        enc = parts.dictionary_encode()
+        names = enc.dictionary.to_pylist()
+        new = [n for n in names if n and n not in self.rows]
+        if new:
+            tokenize = self.model.tokenize
+            self._learn(new, [[t.id for t in tokenize(n if n.isascii() else n.encode().decode("latin-1").translate(BYTES))] for n in new])
+        rows = np.array([self.rows[n] if n else -1 for n in names] + [-1], dtype=np.int64)
+        return rows[enc.indices.fill_null(len(names)).to_numpy()]
+
+    def _other(self, pieces: list[str]) -> np.ndarray:
+        """Rows of whole pieces; their keys begin with a space, which no part does."""
+        new = [p for p in pieces if p and " " + p not in self.rows]
+        odd, rest = [p for p in new if "\0" in p], [p for p in new if "\0" not in p]
         if rest:
-            for p in rest:
-                names.append(p)
-            n = 0
+            found: list[list[int]] = [[]]
             for i in self.ids(" \0 ".join(rest)):
                 if i == self.part:
-                    sizes.append(n)
-                    n = 0
+                    found.append([])
                 else:
-                    flat.append(i)
-                    n += 1
-            sizes.append(n)
-        lengths = np.array(sizes, dtype=np.int64)
-        starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.memo.update(zip(names, range(len(self.memo), len(self.memo) + len(names)), strict=True))
-        self.flat = np.concatenate([self.flat, np.array(flat, dtype=np.uint32)])
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+                    found[-1].append(i)
+            self._learn([" " + p for p in rest], found)
+        if odd:
+            self._learn([" " + p for p in odd], [self.ids(p) for p in odd])
+        return np.array([self.rows[" " + p] if p else -1 for p in pieces], dtype=np.int64)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end_id after each; number of ids of each text, end_id included)."""
+        texts = pc.fill_null(texts, "")
         if self.part is None:
-            return [np.array([*self.ids(t), end_id], dtype=np.uint32) for t in texts]
-        if len(self.memo) > self.KEEP:
+            each = [[*self.ids(t), end_id] for t in texts.to_pylist()]
+            return np.array([i for x in each for i in x], dtype=self.kind), np.array([len(x) for x in each], dtype=np.int64)
+        if len(self.rows) > self.KEEP:
             self._shrink()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        new = list(dict.fromkeys(p for s in split for p in s if p not in memo))
-        if new:
-            self._learn(new)
-        out = []
-        for s in split:
-            at = np.fromiter(map(memo.__getitem__, s), dtype=np.int64, count=len(s))
-            n = self.lengths[at]
-            ends = np.cumsum(n)
-            take = np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1])
-            out.append(np.append(self.flat[take], np.uint32(end_id)))
-        return out
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        enc = split.flatten().dictionary_encode()
+        pieces, at = enc.dictionary, enc.indices.to_numpy()
+        two = pc.extract_regex(pieces, self.PLAIN)
+        other = np.flatnonzero(pc.is_null(two).to_numpy(zero_copy_only=False))
+        letters, marks = (pc.if_else(pc.is_valid(two), pc.struct_field(two, [i]), pa.scalar("")) for i in (0, 1))
+        rows = np.stack([self._plain(pc.utf8_lower(letters)), self._plain(marks)], axis=1)
+        rows[other, 0] = self._other(pieces.take(pa.array(other)).to_pylist())
+        rows = rows.ravel()
+        lengths = np.where(rows >= 0, self.lengths[rows], 0)
+        flat = gather(self.flat, np.where(rows >= 0, self.starts[rows], 0), lengths)
+        sizes = lengths.reshape(-1, 2).sum(1)
+        own = sizes[at]
+        ids = gather(flat, (np.cumsum(sizes) - sizes)[at], own)
+        words = np.asarray(split.value_lengths(), dtype=np.int64)
+        upto = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(words)])]
+        counts = np.diff(upto) + 1
+        out = np.empty(len(ids) + len(counts), dtype=self.kind)
+        last = np.zeros(len(out), dtype=bool)
+        last[np.cumsum(counts) - 1] = True
+        out[last], out[~last] = end_id, ids
+        return out, counts
 
 
 @functools.lru_cache(maxsize=1)
@@ -252,36 +266,34 @@ def _tokenise(path: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                ids = enc.encode([t or "" for t in part.column("text").to_pylist()], end_id)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": pa.array([_narrow(i) for i in ids], pa.binary())})
+            at = 0
+            while at < b.num_rows:
+                ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column("text").slice(at)), 0), dtype=np.int64))
+                n = max(1, int(np.searchsorted(ends, PIECE_BYTES, side="right")))
+                part = b.slice(at, n)
+                ids, counts = enc.encode(part.column("text"), end_id)
+                offsets = np.concatenate([[0], np.cumsum(counts) * enc.kind.itemsize]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])], ["doc_id", "ids"])
+                at += n
 
     return run
 
 
-def _narrow(ids: np.ndarray) -> bytes:
-    """Two bytes an id where they do, else four, told apart by a first byte."""
-    return b"\2" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 65536 else b"\4" + ids.astype("<u4").tobytes()
-
-
-def _widen(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype="<u2" if raw[0] == 2 else "<u4", offset=1).astype(np.int64)
-
-
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, dtype=np.int64)
-    for b in batches:
-        for raw in b.column("ids"):
-            c = np.bincount(_widen(raw.as_py()))
+def _count(kind: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype=np.int64)
+        for b in batches:
+            c = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype=kind))
             if len(c) > len(total):
                 total = np.concatenate([total, np.zeros(len(c) - len(total), dtype=np.int64)])
             total[: len(c)] += c
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
+
+    return run
 
 
-def _write(symbols: np.ndarray, lengths: np.ndarray):
+def _write(symbols: np.ndarray, lengths: np.ndarray, kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, size = Code(symbols, lengths).encoder()
         part, before, number = TaskContext.get().partitionId(), 0, 0
@@ -290,7 +302,7 @@ def _write(symbols: np.ndarray, lengths: np.ndarray):
 
         def file() -> pa.RecordBatch:
             nonlocal before, number
-            ids = np.concatenate(held)
+            ids = np.concatenate(held).astype(np.int64)
             bits, offsets = pack(ids, code, size)
             body = struct.pack(HEAD, b"HUF1", len(docs), len(ids), before, BLOCK_IDS, len(offsets)) + np.array(docs, "<i8").tobytes() + np.array([len(h) for h in held], "<u4").tobytes() + offsets.astype("<u8").tobytes() + bits
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "body": pa.array([body], pa.binary())})
@@ -303,7 +315,7 @@ def _write(symbols: np.ndarray, lengths: np.ndarray):
         for b in batches:
             for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
                 docs.append(NO_ID if doc is None else doc)
-                held.append(_widen(raw.as_py()))
+                held.append(np.frombuffer(raw.as_py(), dtype=kind))
                 waiting += len(held[-1])
                 if waiting >= FILE_IDS:
                     yield file()
@@ -316,13 +328,15 @@ def _write(symbols: np.ndarray, lengths: np.ndarray):
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2) -> str:
     """Write doc_id and text of docs as token files under path: path/files and path/codes."""
-    ids = stage(docs.select("doc_id", "text").mapInArrow(_tokenise(tokenizer or tokenizer_path(), end_id), "doc_id long, ids binary"))
-    counts = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
+    tokenizer = tokenizer or tokenizer_path()
+    kind = encoder(tokenizer).kind.str
+    ids = stage(docs.select("doc_id", "text").mapInArrow(_tokenise(tokenizer, end_id), "doc_id long, ids binary"))
+    counts = ids.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
     symbols, lengths = counts["id"].to_numpy(np.int64), code_lengths(counts["n"].to_numpy(np.int64))
     spark = docs.sparkSession
     spark.createDataFrame([(int(s), int(n)) for s, n in zip(symbols, lengths, strict=True)], "id long, bits long").coalesce(1).write.parquet(f"{path}/codes")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(_write(symbols, lengths), "part int, number int, n_ids long, body binary").write.option("compression", "uncompressed").parquet(f"{path}/files")
+    ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(_write(symbols, lengths, kind), "part int, number int, n_ids long, body binary").write.option("compression", "uncompressed").parquet(f"{path}/files")
     return path
 
 
