@@ -109,3 +109,12 @@ def flat_map_errors(spark, d):
 
     made = hooks.flat_map(table(spark, d, "conversations"), one, "conv_id long, turn long, n long")
     return made.select("conv_id", "turn", "n")
+
+
+@query()
+def trailing_filter_exact(spark, d):
+    """The accepted-only trailing bound is recursive: a key's rows in order, the batch twin of the stateful stream."""
+    from ..streaming.streams import TrailingFilter
+
+    events = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    return TrailingFilter(n=30, k=2.0, abort=False).batch(events, "user_id", ["ts", "event_id"], "value", "event_id")
