@@ -17,7 +17,7 @@ from reelspark.llm.op8_mix import mix_documents
 from reelspark.llm.op10_tokens import token_output
 
 #: A text goes when its words speak less clearly than this for any one language.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
