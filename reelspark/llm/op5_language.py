@@ -1,7 +1,7 @@
 """Language ID with a linear-chain conditional random field over words.
 
-Word features: affixes of one to four letters, character bigrams and trigrams, and the word itself where the
-lexicon of the training sample has it. Label-to-label transitions are learned with them, from pure
+Words are runs of letters, lower-cased. Their features: affixes of one to four letters, character bigrams and
+trigrams, and the word itself where the lexicon of the training sample has it. Label-to-label transitions are learned with them, from pure
 segments and from segments spliced of two languages, so that code-switched text can change label. Words are
 labelled by forward-backward over segments of up to SEGMENT words, and a text's score for a language is the mean
 posterior of its words that have a letter.
@@ -16,32 +16,50 @@ empty table, or one without labels, gives `und` throughout; other columns are ig
 
 from __future__ import annotations
 
-import re
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mix64, table
 
 #: Labelled rows that the model is fitted on at most, and segments taken from them.
 SAMPLE_ROWS, SAMPLE_SEGMENTS = 600, 3000
 SEGMENT, EPOCHS, BUCKETS, SEED = 64, 25, 1 << 16, 5
-TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 UND = "und"
 
 
-def features(word: str, lexicon: set[str]) -> list[int]:
-    """Hashed affix, n-gram and lexicon features of a lower-cased word."""
-    padded = f"<{word}>"
-    names = [f"p{word[:n]}" for n in range(1, 5) if n <= len(word)] + [f"s{word[-n:]}" for n in range(1, 5) if n <= len(word)]
-    names += [f"g{padded[i : i + n]}" for n in (2, 3) for i in range(len(padded) - n + 1)]
-    if word in lexicon:
-        names.append(f"w{word}")
-    return [xxhash.xxh32_intdigest(x) % BUCKETS for x in names]
+def features(words: list[str], lexicon: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of each hashed affix, n-gram and lexicon feature of lower-cased words."""
+    chars = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    starts = np.cumsum(sizes + 2) - sizes - 2
+    owner = np.repeat(np.arange(len(words)), sizes + 2)
+    every = np.arange(len(words))
+    out = []
+
+    def add(kind: int, who: np.ndarray, first: np.ndarray, n: int) -> None:
+        h = np.full(len(first), kind, dtype=np.uint64)
+        for k in range(n):
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + chars[first + k])
+        out.append((who, h))
+
+    for n in (2, 3):
+        first = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])
+        add(n, owner[first], first, n)
+    for n in range(1, 5):
+        who = every[sizes >= n]
+        add(10 + n, who, starts[who] + 1, n)
+        add(20 + n, who, starts[who] + 1 + sizes[who] - n, n)
+    own = [i for i, w in enumerate(words) if w in lexicon]
+    out.append((np.array(own, dtype=np.int64), np.array([xxhash.xxh3_64_intdigest(words[i]) for i in own], dtype=np.uint64)))
+    who, h = (np.concatenate(x) for x in zip(*out, strict=True))
+    return who, (h % np.uint64(BUCKETS)).astype(np.int64)
 
 
 class Model:
@@ -52,8 +70,9 @@ class Model:
         k = len(labels)
         self.weights, self.moves, self.begin = np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k)
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.weights[features(word, self.lexicon)].sum(0)
+    def emissions(self, words: list[str]) -> np.ndarray:
+        who, bucket = features(words, self.lexicon)
+        return np.stack([np.bincount(who, weights=self.weights[bucket, j], minlength=len(words)) for j in range(len(self.labels))], 1)
 
     def posteriors(self, scores: np.ndarray, lengths: np.ndarray, pairs: bool = False):
         """scores: S x T x K emissions, padded; lengths in descending order. Marginals S x T x K, and summed pair marginals."""
@@ -91,8 +110,7 @@ class Model:
             words[i, : len(ws)] = [vocabulary.setdefault(w, len(vocabulary)) for w in ws]
             gold[i, : len(ls)] = ls
         lengths = (words >= 0).sum(1)
-        feats = [features(w, self.lexicon) for w in vocabulary]
-        owner, feat = np.repeat(np.arange(len(feats)), [len(f) for f in feats]), np.concatenate([np.array(f) for f in feats])
+        owner, feat = features(list(vocabulary), self.lexicon)
         k, mask = len(self.labels), words >= 0
         one = np.eye(k)[gold] * mask[:, :, None]
         gold_moves = np.zeros((k, k))
@@ -100,11 +118,11 @@ class Model:
         squares = [np.full(x.shape, 1e-8) for x in (self.weights, self.moves, self.begin)]
         flat, total = words[mask], mask.sum()
         for _ in range(EPOCHS):
-            emit = np.stack([np.bincount(owner, weights=self.weights[feat, j], minlength=len(feats)) for j in range(k)], 1)
+            emit = np.stack([np.bincount(owner, weights=self.weights[feat, j], minlength=len(vocabulary)) for j in range(k)], 1)
             scores = np.where(mask[:, :, None], emit[np.maximum(words, 0)], 0)
             post, moves = self.posteriors(scores, lengths, pairs=True)
             off = (one - post * mask[:, :, None])[mask]
-            by_word = np.stack([np.bincount(flat, weights=off[:, j], minlength=len(feats)) for j in range(k)], 1)
+            by_word = np.stack([np.bincount(flat, weights=off[:, j], minlength=len(vocabulary)) for j in range(k)], 1)
             grad = np.stack([np.bincount(feat, weights=by_word[owner, j], minlength=BUCKETS) for j in range(k)], 1)
             steps = ((self.weights, grad / total), (self.moves, (gold_moves - moves) / total), (self.begin, (one[:, 0] - post[:, 0]).sum(0) / total))
             for (x, g), q in zip(steps, squares, strict=True):
@@ -114,8 +132,10 @@ class Model:
         return self
 
 
-def words_of(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").lower())
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """The words of each text: runs of letters, lower-cased; a text without one has a single empty word."""
+    letters = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\P{L}+", " ")
+    return pc.split_pattern(pc.utf8_trim(letters, " "), " ")
 
 
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, segments: int = SAMPLE_SEGMENTS) -> Model | None:
@@ -127,8 +147,8 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, segments: int = SAMPLE_S
         return None
     rng = np.random.default_rng(SEED)
     pieces: list[tuple[list[str], int]] = []
-    for r in sample:
-        ws = words_of(r.text)
+    for r, ws in zip(sample, words_of(pa.array([r.text for r in sample], pa.string())).to_pylist(), strict=True):
+        ws = [w for w in ws if w]
         pieces += [(ws[i : i + SEGMENT], labels.index(r.lang)) for i in range(0, len(ws), SEGMENT)]
     if not pieces:
         return None
@@ -146,48 +166,55 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, segments: int = SAMPLE_S
 
 
 class Tagger:
-    """Mean posteriors of whole texts; emissions of words met lately are kept."""
+    """Mean posteriors of whole texts; emissions of words met first, the frequent ones, are kept."""
 
     KEEP = 300_000
 
     def __init__(self, model: Model):
         self.model = model
-        self._clear()
-
-    def _clear(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.memo: dict[str, int] = {"": 0}
+        self.rows = np.zeros((1, len(model.labels)))
 
     def _index(self, words: list[str]) -> np.ndarray:
         memo = self.memo
-        for w in dict.fromkeys(w for w in words if w not in memo):
-            memo[w] = len(memo)
-            self.rows.append(self.model.emission(w))
+        if len(memo) > self.KEEP:
+            self.memo = memo = dict(itertools.islice(memo.items(), self.KEEP // 2))
+            self.rows = self.rows[: self.KEEP // 2].copy()
+        new = [w for w in words if w not in memo]
+        if new:
+            memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
+            self.rows = np.concatenate([self.rows, self.model.emissions(new)])
         return np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def posteriors(self, texts: list[str | None]) -> list[np.ndarray]:
-        """words x labels marginals of each text."""
-        if len(self.memo) > self.KEEP:
-            self._clear()
-        index = [self._index(words_of(t)) for t in texts]
-        sizes = np.array([len(x) for x in index])
-        out = [np.zeros((0, len(self.model.labels)))] * len(texts)
-        if not sizes.sum():
-            return out
-        flat, emit = np.concatenate(index), np.array(self.rows)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        cuts = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(starts[:-1], starts[1:], strict=True) if b > a])
-        ends = np.minimum(cuts + SEGMENT, starts[1:][np.searchsorted(starts[1:], cuts, side="right")])
-        order = np.argsort(-(ends - cuts), kind="stable")
-        post = np.zeros((len(flat), len(self.model.labels)))
-        for at in range(0, len(order), 4096):
-            o = order[at : at + 4096]
-            n = (ends - cuts)[o]
+    def posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(words x labels marginals of all texts, number of words of each text)."""
+        split = words_of(texts)
+        enc = split.flatten().dictionary_encode()
+        names = enc.dictionary.to_pylist()
+        at = enc.indices.to_numpy()
+        sizes = np.asarray(split.value_lengths(), dtype=np.int64)
+        if "" in names:  # stands alone in the texts without a word
+            blank = at == names.index("")
+            sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[blank], minlength=len(sizes))
+            at = at[~blank]
+        post = np.zeros((len(at), len(self.model.labels)))
+        if not len(at):
+            return post, sizes
+        index = self._index(names)
+        emit = self.rows[index[at]]
+        ends = np.cumsum(sizes)
+        pieces = -(-sizes // SEGMENT)
+        cuts = np.repeat(ends - sizes, pieces) + SEGMENT * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        lengths = np.minimum(SEGMENT, np.repeat(ends, pieces) - cuts)
+        order = np.argsort(-lengths, kind="stable")
+        for lo in range(0, len(order), 4096):
+            o = order[lo : lo + 4096]
+            n = lengths[o]
             inside = np.arange(n[0]) < n[:, None]
             place = np.where(inside, cuts[o][:, None] + np.arange(n[0]), 0)
-            p, _ = self.model.posteriors(emit[flat[place]], n)
+            p, _ = self.model.posteriors(emit[place], n)
             post[place[inside]] = p[inside]
-        return [post[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        return post, sizes
 
 
 def _predict(model: Model | None):
@@ -196,12 +223,16 @@ def _predict(model: Model | None):
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                marginals = tagger.posteriors(part.column("text").to_pylist()) if tagger else [()] * part.num_rows
-                means = [m.mean(0) if len(m) else None for m in marginals]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in part.schema.names), pa.array([UND if m is None else model.labels[int(m.argmax())] for m in means]), pa.array([0.0 if m is None else float(m.max()) for m in means])],
-                    [*part.schema.names, "lang_pred", "score"],
-                )
+                label, score = [UND] * part.num_rows, np.zeros(part.num_rows)
+                if tagger:
+                    post, sizes = tagger.posteriors(part.column("text"))
+                    total = np.concatenate([np.zeros((1, len(model.labels))), np.cumsum(post, axis=0)])
+                    ends = np.cumsum(sizes)
+                    mean = (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)[:, None]
+                    some = sizes > 0
+                    label = [model.labels[k] if ok else UND for k, ok in zip(mean.argmax(1).tolist(), some.tolist(), strict=True)]
+                    score = np.where(some, np.clip(mean.max(1), 0, 1), 0.0)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(label, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
 
     return run
 
