@@ -92,3 +92,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _words_sql(name: str, key: str) -> str:
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {key}, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos, len(ws) AS n FROM (SELECT {key}, [x FOR x IN regexp_split_to_array({lowered}, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM {name})"
+
+
+#: Every alignment that shares enough words, then its best stretch: brute force, for items of 13 words or more.
+ORACLE = f"""
+WITH d AS ({_words_sql("documents", "doc_id")}), b AS ({_words_sql("benchmark", "item_id")}),
+m AS (SELECT doc_id, item_id, d.pos - b.pos AS shift, b.n AS n_item, least(13, b.n) AS size, list(b.pos) AS ps FROM d JOIN b ON d.w = b.w WHERE b.n >= 5 GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 0.8 * least(13, b.n)),
+s AS (SELECT *, unnest(range(n_item - size + 1)) AS st FROM m),
+c AS (SELECT doc_id, item_id, shift + st AS doc_start, n_item, size, len([x FOR x IN ps IF x >= st AND x < st + size]) AS matched FROM s)
+SELECT doc_id, item_id, matched / size::DOUBLE AS overlap, matched::BIGINT AS matched, doc_start::BIGINT AS doc_start, n_item::BIGINT AS n_item FROM c WHERE matched >= 0.8 * size
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched / size::DOUBLE DESC, doc_start) = 1
+"""

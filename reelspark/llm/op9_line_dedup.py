@@ -114,8 +114,9 @@ def _halves(keys: pa.Array) -> np.ndarray:
 class LineIndex:
     """Exact references and filters in a shared folder; every change appends or replaces files there."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS):
-        self.spark, self.path = spark, path or scratch(spark)
+    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_log: bool = True):
+        """Without keep_log the index takes one load and no later change, and writes no references."""
+        self.spark, self.path, self.keep_log = spark, path or scratch(spark), keep_log
         self.min_docs, self.min_chars, self.version = min_docs, min_chars, 0
         self.logs: list[str] = []
         self.filters: DataFrame | None = None
@@ -128,31 +129,21 @@ class LineIndex:
         return self._change(docs, -1)
 
     def _change(self, docs: DataFrame, sign: int) -> LineIndex:
+        if self.version and not self.keep_log:
+            raise ValueError("an index without a log can't change")
         self.version += 1
         refs = references(docs, self.min_chars)
-        if self.version == 1 and sign == 1:  # one bulk load: counted straight from the text, kept for later changes as its exact log
-            counted = refs
-        else:
-            counted = None
-        log = f"{self.path}/log-{self.version}"
-        if counted is None:
-            refs.groupBy("key", "doc_id").agg(F.lit(sign).alias("sign")).write.parquet(log)
-            self.logs.append(log)
-        else:
-            self.loaded = docs
-        before, self.exact = self.exact, stage(self._counts(counted), f"{self.path}/exact-{self.version}")
+        if self.keep_log:
+            self.logs.append(f"{self.path}/log-{self.version}")
+            refs.groupBy("key", "doc_id").agg(F.lit(sign).alias("sign")).write.parquet(self.logs[-1])
+            log = self.spark.read.schema("key binary, doc_id long, sign int").parquet(*self.logs)
+            refs = log.groupBy("key", "doc_id").agg(F.sum("sign").alias("held")).where("held > 0").select("key", "doc_id")
+        # counting distinct ids deals rows out by (key, doc_id) first, so no key is hot
+        counts = refs.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        before, self.exact = self.exact, stage(counts, f"{self.path}/exact-{self.version}")
         self.filters = stage(self._filters(before), f"{self.path}/filters-{self.version}")
         return self
 
-    def _counts(self, first: DataFrame | None) -> DataFrame:
-        """key -> n_docs, last_doc. Counting distinct ids deals rows out by (key, doc_id) first, so no key is hot."""
-        if first is None:
-            log = references(self.loaded, self.min_chars).groupBy("key", "doc_id").agg(F.lit(1).alias("sign"))
-            for path in self.logs:
-                log = log.unionByName(self.spark.read.parquet(path))
-            first = log.groupBy("key", "doc_id").agg(F.sum("sign").alias("held")).where("held > 0").select("key", "doc_id")
-        return first.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-
     def _filters(self, before: DataFrame | None) -> DataFrame:
         """A filter per shard; after the first load only keys that cross the threshold are put in or taken out."""
         shard = F.expr(f"shiftright(conv(hex(substring(key, 1, 1)), 16, 10), {8 - (SHARDS - 1).bit_length()})").cast("int").alias("shard")
@@ -234,7 +225,7 @@ class LineIndex:
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text of every row of docs, over an index of docs themselves."""
     slim = docs.select("doc_id", "text")
-    return LineIndex(docs.sparkSession, min_docs=min_docs, min_chars=min_chars).insert(slim).apply(slim)
+    return LineIndex(docs.sparkSession, min_docs=min_docs, min_chars=min_chars, keep_log=False).insert(slim).apply(slim)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
