@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stage, table
+from .common import lean, scratch, stage, table
 
 FILE_IDS, BLOCK_IDS, MAX_BITS = 1 << 21, 1 << 10, 18
 #: Bytes of text that are encoded together.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 6 << 20
 #: Stands for a null doc_id in a file.
 NO_ID = -(1 << 63)
 HEAD = "<4sIQQII"
@@ -72,7 +72,7 @@ class Encoder:
     kept. A tokenizer without these properties, which are tried on examples, encodes whole texts.
     """
 
-    KEEP = 600_000
+    KEEP = 450_000
     PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
     TRIES = ("Ab \0\n cD", "Élan vît, ÀÖØöøÿß. The end. (x) Don't, 'S it's: <|endoftext|> a_b É1é x--", " a  b\n\nc, ")
 
@@ -276,7 +276,7 @@ def _tokenise(path: str, end_id: int):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])], ["doc_id", "ids"])
                 at += n
 
-    return run
+    return lean(run)
 
 
 def _count(kind: str):
@@ -290,7 +290,7 @@ def _count(kind: str):
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
-    return run
+    return lean(run)
 
 
 def _write(symbols: np.ndarray, lengths: np.ndarray, kind: str):
@@ -323,7 +323,7 @@ def _write(symbols: np.ndarray, lengths: np.ndarray, kind: str):
         if held:
             yield file()
 
-    return run
+    return lean(run)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2) -> str:
@@ -364,7 +364,7 @@ def _read(symbols: np.ndarray, lengths: np.ndarray, base: dict[int, int], digest
                     rows["ids_crc32" if digest else "ids"] = pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()) if digest else pa.array([c.astype(np.int64) for c in cut], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(rows)
 
-    return run
+    return lean(run)
 
 
 def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stage, table
+from .common import lean, scratch, slices, stage, table
 
 RULE_VERSION = 2
 KINDS = ("assign", "access", "hex", "pem")
@@ -54,7 +54,7 @@ FINDINGS = "blob binary, rule_version int, n_assign long, n_access long, n_hex l
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         found = [find_spans(t) for t in b.column("text").to_pylist()]
         base = [",".join(x for _, k, x in f if k < 3) for f in found]
         yield pa.RecordBatch.from_pydict(
@@ -89,7 +89,7 @@ class BlobLedger:
         if known is not None:
             unseen = unseen.join(known.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
         part = f"{self.path}/part-{len(self.parts)}"
-        stage(unseen.select("blob", "text").mapInArrow(_scan, FINDINGS), part)
+        stage(unseen.select("blob", "text").mapInArrow(lean(_scan), FINDINGS), part)
         self.parts.append(part)
         now = self.findings().where(F.col("rule_version") == RULE_VERSION)
         return addressed.select("path_id", "blob").join(now, "blob").withColumnRenamed("path_id", path_id)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, whole_groups
+from .common import lean, stage, table, whole_groups
 from .components import connected_components, local_roots, tiled
 
 THRESHOLD, MISS = 0.95, 1e-4
@@ -65,7 +65,7 @@ def _sign(bits: int, tables: int):
                     keys[rows] = ((x @ planes[dim] > 0).reshape(len(rows), tables, bits) * weights).sum(2)
                 yield pa.RecordBatch.from_pydict({"cid": part.column("cid"), "copies": part.column("copies"), "dim": pa.array(lengths.astype(np.int32)), "keys": pa.array(list(keys), pa.list_(pa.int32())), "embedding": part.column("embedding")})
 
-    return run
+    return lean(run)
 
 
 def _compare(threshold: float, tables: int):
@@ -103,7 +103,7 @@ def _compare(threshold: float, tables: int):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["cid", "links", "root"])
 
-    return run
+    return lean(run)
 
 
 def embedding_links(rows: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table
+from .common import lean, mix64, slices, table
 
 #: Labelled rows that the model is fitted on at most, and segments taken from them.
 SAMPLE_ROWS, SAMPLE_SEGMENTS = 600, 3000
@@ -168,7 +168,7 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, segments: int = SAMPLE_S
 class Tagger:
     """Mean posteriors of whole texts; emissions of words met first, the frequent ones, are kept."""
 
-    KEEP = 300_000
+    KEEP = 200_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -217,24 +217,22 @@ class Tagger:
         return post, sizes
 
 
-def _predict(model: Model | None):
+def _predict(model: Model | None, text: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = model and Tagger(model)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                label, score = [UND] * part.num_rows, np.zeros(part.num_rows)
-                if tagger:
-                    post, sizes = tagger.posteriors(part.column("text"))
-                    total = np.concatenate([np.zeros((1, len(model.labels))), np.cumsum(post, axis=0)])
-                    ends = np.cumsum(sizes)
-                    mean = (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)[:, None]
-                    some = sizes > 0
-                    label = [model.labels[k] if ok else UND for k, ok in zip(mean.argmax(1).tolist(), some.tolist(), strict=True)]
-                    score = np.where(some, np.clip(mean.max(1), 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(label, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
-
-    return run
+        for part in slices(batches, 400):
+            label, score = [UND] * part.num_rows, np.zeros(part.num_rows)
+            if tagger:
+                post, sizes = tagger.posteriors(part.column(text))
+                total = np.concatenate([np.zeros((1, len(model.labels))), np.cumsum(post, axis=0)])
+                ends = np.cumsum(sizes)
+                mean = (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)[:, None]
+                some = sizes > 0
+                label = [model.labels[k] if ok else UND for k, ok in zip(mean.argmax(1).tolist(), some.tolist(), strict=True)]
+                score = np.where(some, np.clip(mean.max(1), 0, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(label, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
+
+    return lean(run)
 
 
 def held_out() -> F.Column:
@@ -243,9 +241,10 @@ def held_out() -> F.Column:
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns of keep, then the label and its score under the names of into; the text alone is looked at."""
-    inner = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), "text")
+    text = f"_{keep.index('text')}" if "text" in keep else "text"
+    inner = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), *([] if "text" in keep else ["text"]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
-    named = inner.mapInArrow(_predict(model), f"{fields}, lang_pred string, score double")
+    named = inner.mapInArrow(_predict(model, text), f"{fields}, lang_pred string, score double")
     return named.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), F.col("lang_pred").alias(into[0]), F.col("score").alias(into[1]))
 
 

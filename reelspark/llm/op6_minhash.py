@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, stage, table, whole_groups, word_list
+from .common import lean, mix64, slices, stage, table, whole_groups, word_list
 from .components import connected_components, local_roots, tiled
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
@@ -53,7 +53,7 @@ _STARTS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
 class WordHash(dict):
     """Word -> 64-bit hash, kept for the words met first, which are the frequent ones."""
 
-    KEEP = 300_000
+    KEEP = 200_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
@@ -103,22 +103,20 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 def _profile(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
-        for b in batches:
-            texts, ids = b.column("text"), b.column("doc_id")
-            for at in range(0, b.num_rows, 1000):
-                sets = [shingle_set(t.as_py(), words, memo) for t in texts.slice(at, 1000)]
-                some = [s for s in sets if len(s)]
-                regs = iter(registers(some)) if some else iter(())
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": ids.slice(at, 1000),
-                        "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                        "set_key": pa.array([int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) if len(s) else None for s in sets], pa.int64()),
-                        "sketch": pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    }
-                )
-
-    return run
+        for b in slices(batches):
+            sets = [shingle_set(t.as_py(), words, memo) for t in b.column("text")]
+            some = [s for s in sets if len(s)]
+            regs = iter(registers(some)) if some else iter(())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": b.column("doc_id"),
+                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                    "set_key": pa.array([int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) if len(s) else None for s in sets], pa.int64()),
+                    "sketch": pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary()),
+                }
+            )
+
+    return lean(run)
 
 
 def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +146,7 @@ def _plausible(threshold: float):
             ok = (_estimate((x == y).mean(1)) >= least_estimate(small, threshold)) & (small >= threshold * large - 1e-6)
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    return run
+    return lean(run)
 
 
 def _tile_pairs(t: pa.Table, lo: int, hi: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +185,7 @@ def _cross(threshold: float):
                 if len(i):
                     yield _joined(key[lo:hi], i, j)
 
-    return run
+    return lean(run)
 
 
 def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -229,20 +227,18 @@ def _confirm_tiles(threshold: float, percent: int):
                 if ok.any():
                     yield _joined(key[lo:hi], i[ok], j[ok])
 
-    return run
+    return lean(run)
 
 
 def _sets(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
-        for b in batches:
-            wanted, texts = b.column("want").to_pylist(), b.column("text")
-            for at in range(0, b.num_rows, 1000):
-                made = [(k, shingle_set(t.as_py(), words, memo)) for k, t in zip(wanted[at : at + 1000], texts.slice(at, 1000), strict=True)]
-                made = [(k, s) for k, s in made if int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) == k]
-                yield pa.RecordBatch.from_pydict({"set_key": pa.array([k for k, _ in made], pa.int64()), "members": pa.array([s.tobytes() for _, s in made], pa.binary())})
+        for b in slices(batches):
+            made = [(k, shingle_set(t.as_py(), words, memo)) for k, t in zip(b.column("want").to_pylist(), b.column("text"), strict=True)]
+            made = [(k, s) for k, s in made if int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) == k]
+            yield pa.RecordBatch.from_pydict({"set_key": pa.array([k for k, _ in made], pa.int64()), "members": pa.array([s.tobytes() for _, s in made], pa.binary())})
 
-    return run
+    return lean(run)
 
 
 def _confirm(percent: int):
@@ -255,7 +251,7 @@ def _confirm(percent: int):
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 class NearDuplicates:
