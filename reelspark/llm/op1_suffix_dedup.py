@@ -13,6 +13,10 @@ compared from there on only, and most matches are settled by the two lengths alo
 suffixes with their LCP array; the contexts are sorted alike from the anchor backwards. Windows at offset o are
 equal exactly where both arrays say so: the last o bytes before, and the next 200 - o bytes.
 
+A gram that very many runs share (HOT) is not one range's work: its runs are cut into bands of offsets, narrow at both
+ends, and a band goes to the range of the bytes that all its windows share. What is common then folds into few
+entries, and what differs goes apart.
+
 Equal strings are compared as strings throughout; hashes only choose anchors and, 64 bits of them, ids of rows.
 
 Defined results: a null text is empty; texts shorter than the window keep all bytes; a null doc_id keeps its row;
@@ -33,13 +37,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, stage, table
+from .common import lean, mix64, slices, stage, table
 
 WINDOW, GRAM = 200, 64
 #: Windows of one text that are looked at together, and bytes of text gathered before they are.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Bytes of suffixes that a task sorts at a time, and suffixes that a range compares at a time.
-SORT_BYTES, COMPARE = 48 << 20, 20_000
+SORT_BYTES, COMPARE = 24 << 20, 20_000
+#: Runs of one gram beyond which they are cut into bands.
+HOT = 8192
+HOT_FLAG = 1 << 62
 _INDEX = np.uint64((1 << 24) - 1)
 _TABLE = np.random.default_rng(1).integers(0, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -96,8 +103,8 @@ def _profile(window: int):
                 cuts = np.searchsorted(own, np.arange(len(where) + 1))
                 for k, (row, offset, at, _) in enumerate(where):
                     a, b = cuts[k], cuts[k + 1]
-                    move = offset - at
-                    found[row].append((first[a:b] + move, anchor[a:b] + move, last[a:b] + move, gram[a:b]))
+                    place = first[a:b] + (offset - at) << 16 | anchor[a:b] - first[a:b] << 8 | last[a:b] - first[a:b]
+                    found[row].append((place, gram[a:b].view(np.int64)))
 
             for i, (_, _, body) in enumerate(rows):
                 for offset in range(0, max(len(body) - window + 1, 0), CHUNK):
@@ -110,8 +117,8 @@ def _profile(window: int):
                         pieces, where, size = [], [], 0
             if where:
                 look()
-            merged = [[np.concatenate(c) for c in zip(*f, strict=True)] if f else [np.empty(0, np.int64)] * 4 for f in found]
-            lists = {name: pa.array([m[k].astype(np.uint64).view(np.int64) if name == "gram" else m[k].astype(np.int32) for m in merged], pa.list_(pa.int64() if name == "gram" else pa.int32())) for k, name in enumerate(("first", "anchor", "last", "gram"))}
+            merged = [[np.concatenate(c) for c in zip(*f, strict=True)] if f else [np.empty(0, np.int64)] * 2 for f in found]
+            lists = {name: pa.array([m[k] for m in merged], pa.list_(pa.int64())) for k, name in enumerate(("place", "gram"))}
             return pa.RecordBatch.from_pydict(
                 {
                     "rid": pa.array([r for r, _, _ in rows], pa.int64()),
@@ -122,7 +129,7 @@ def _profile(window: int):
                 }
             )
 
-        for b in batches:
+        for b in slices(batches):
             rows, size = [], 0
             for row in zip(b.column("rid").to_pylist(), b.column("doc_id").to_pylist(), b.column("body").to_pylist(), strict=True):
                 rows.append(row)
@@ -133,7 +140,7 @@ def _profile(window: int):
             if rows:
                 yield flush(rows)
 
-    return run
+    return lean(run)
 
 
 def shared(a: bytes, b: bytes, at: int = 0) -> int:
@@ -255,39 +262,73 @@ def merge_runs(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
             node >>= 1
 
 
+def bands(window: int) -> list[tuple[int, int]]:
+    """Ranges [lo, hi) of offsets whose widths double from either end."""
+    top = window - GRAM + 1
+    steps = [1 << k for k in range(top.bit_length()) if 1 << k <= top // 2]
+    return list(pairwise(sorted({0, *steps, *(top - x for x in steps), top})))
+
+
 def _send(window: int, ranges: int):
     """Rows with text and runs -> blocks for the ranges, intervals known already, and the texts that have runs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
-        size = 0
+        held: dict[tuple[bytes, bytes], tuple[bool, list[tuple[int, int]]]] = {}
+        cuts, size = bands(window), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            blocks: dict[int, list[tuple]] = {}
+            entries: dict[tuple[bytes, bytes], tuple[int, tuple[int, int] | None]] = {}
             rid, lo, hi = [], [], []
-            for suffix, context in sorted(held):
-                places = held[suffix, context]
-                many = len(places) > 1
-                if many:  # all windows of a run that occurs twice repeat
-                    for r, first in places:
-                        rid.append(r)
-                        lo.append(first)
-                        hi.append(first + len(context) + len(suffix))
-                part = xxhash.xxh3_64_intdigest(suffix[:GRAM]) % ranges
-                blocks.setdefault(part, []).append((suffix, context, int(many), *((0, 0) if many else places[0])))
-            for part, entries in blocks.items():
-                yield row(part=[part], block=[front_code(entries)])
+
+            def known(suffix: bytes, context: bytes, place: tuple[int, int]) -> None:
+                rid.append(place[0])
+                lo.append(place[1])
+                hi.append(place[1] + len(context) + len(suffix))
+
+            def put(suffix: bytes, context: bytes, common: bytes, place: tuple[int, int] | None) -> None:
+                """place is None if the windows are known to repeat; so are those of an entry that comes again."""
+                if (suffix, context) in entries:
+                    part, other = entries[suffix, context]
+                    for x in (place, other):
+                        if x is not None:
+                            known(suffix, context, x)
+                    entries[suffix, context] = part, None
+                else:
+                    entries[suffix, context] = xxhash.xxh3_64_intdigest(common) % ranges, place
+
+            for (suffix, context), (hot, places) in held.items():
+                if len(places) > 1:  # all windows of a run that occurs twice repeat
+                    for place in places:
+                        known(suffix, context, place)
+                one = places[0] if len(places) == 1 else None
+                if not hot:
+                    put(suffix, context, suffix[:GRAM], one)
+                    continue
+                for a, b in cuts:
+                    if max(a, window - len(suffix)) <= min(b - 1, len(context)):
+                        before = context[max(0, len(context) - b + 1) :]
+                        common = context[len(context) - a :] + suffix[: window - b + 1]
+                        put(suffix[: window - a], before, common, one and (one[0], one[1] + len(context) - len(before)))
+            blocks: dict[int, list[tuple]] = {}
+            for suffix, context in sorted(entries):
+                part, place = entries[suffix, context]
+                blocks.setdefault(part, []).append((suffix, context, int(place is None), *(place or (0, 0))))
+            for part, block in blocks.items():
+                yield row(part=[part], block=[front_code(block)])
             if rid:
                 yield row(rid=rid, lo=lo, hi=hi)
 
-        for b in batches:
+        for b in slices(batches):
             for r, body, places in zip(b.column("rid").to_pylist(), b.column("body").to_pylist(), b.column("runs").to_pylist(), strict=True):
                 yield row(rid=[r], text=[zstandard.ZstdCompressor(level=3).compress(body)])
                 for p in places:
-                    key = body[p["anchor"] : p["last"] + window], body[p["first"] : p["anchor"]]
+                    hot, p = bool(p & HOT_FLAG), p & ~HOT_FLAG
+                    first, anchor, last = p >> 16, (p >> 16) + (p >> 8 & 255), (p >> 16) + (p & 255)
+                    key = body[anchor : last + window], body[first:anchor]
                     if key not in held:
-                        size += 300 + len(key[0]) + len(key[1])
-                    held.setdefault(key, []).append((r, p["first"]))
+                        size += (300 + len(key[0]) + len(key[1])) * (8 if hot else 1)
+                        held[key] = hot, []
+                    held[key][1].append((r, first))
                     size += 100
                 if size > SORT_BYTES:
                     yield from flush()
@@ -295,7 +336,7 @@ def _send(window: int, ranges: int):
                     size = 0
         yield from flush()
 
-    return run
+    return lean(run)
 
 
 SENT = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("rid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("text", pa.binary())])
@@ -368,12 +409,12 @@ def _merge(window: int):
         if blocks:
             yield from settle(blocks)
 
-    return run
+    return lean(run)
 
 
 def _cut(text: Callable[[bytes], bytes]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: dict[str, list] = {"rid": [], "n_removed": [], "n_spans": [], "kept": []}
             for rid, packed, spans in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 body, kept, at, removed, n = text(packed), [], 0, 0, 0
@@ -392,7 +433,7 @@ def _cut(text: Callable[[bytes], bytes]):
                     out[name].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out["rid"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary())], list(out))
 
-    return run
+    return lean(run)
 
 
 def _unpack(packed: bytes) -> bytes:
@@ -407,18 +448,18 @@ class SuffixDedup:
     """Repeated byte strings of docs (doc_id, text) and what is left without them."""
 
     def __init__(self, docs: DataFrame, window: int = WINDOW):
-        if not 2 * GRAM <= window <= 2 * GRAM + 256:
-            raise ValueError("the window must hold two grams, and its offsets must stay few")
+        if not 2 * GRAM <= window <= GRAM + 255:
+            raise ValueError("the window must hold two grams, and its offsets must fit in a byte")
         self.window, self.spark = window, docs.sparkSession
         self.rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), body_of(F.col("text")).alias("body"))
-        lists = "first array<int>, anchor array<int>, last array<int>, gram array<long>"
+        lists = "place array<long>, gram array<long>"  # a run is its first window << 16, and the anchor and last window behind it in 8 bits each
         self.profile = stage(self.rows.mapInArrow(_profile(window), f"rid long, doc_id long, n_bytes long, sha string, {lists}"))
 
     def intervals(self) -> tuple[DataFrame, DataFrame]:
         """((rid, lo, hi) under repeated windows, packed texts of the rows that may have some)."""
-        runs = self.profile.select("rid", F.inline(F.arrays_zip("first", "anchor", "last", "gram")))
-        again = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-        kept = runs.join(again, "gram").groupBy("rid").agg(F.collect_set(F.struct("first", "anchor", "last")).alias("runs"))
+        runs = self.profile.select("rid", F.inline(F.arrays_zip("place", "gram")))
+        again = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.when(F.col("n") > HOT, HOT_FLAG).otherwise(0).alias("flag"))
+        kept = runs.join(again, "gram").groupBy("rid").agg(F.collect_set(F.col("place") + F.col("flag")).alias("runs"))
         ranges = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         sent = stage(self.rows.join(kept, "rid").select("rid", "body", "runs").mapInArrow(_send(self.window, ranges), "part int, block binary, rid long, lo int, hi int, text binary"))
         merged = sent.where("part IS NOT NULL").select("part", "block").repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_merge(self.window), "rid long, lo int, hi int")
