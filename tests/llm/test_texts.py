@@ -44,7 +44,9 @@ def cut(bodies: list[bytes], window: int = 200) -> list[tuple]:
     return out
 
 
-def test_suffix_dedup(spark, tmp_path):
+@pytest.mark.parametrize("hot", [8192, 2])
+def test_suffix_dedup(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(op1_suffix_dedup, "HOT", hot)
     r = random.Random(5)
     rows = [x for x in X.texts() if x[0] != 1]
     passage = X.prose(60, 7)
@@ -55,6 +57,11 @@ def test_suffix_dedup(spark, tmp_path):
     assert got == want
 
 
+def test_bands_cover_all_offsets():
+    cuts = op1_suffix_dedup.bands(200)
+    assert [o for lo, hi in cuts for o in range(lo, hi)] == list(range(137)) and cuts[0] == (0, 1) and cuts[-1] == (136, 137)
+
+
 def test_loser_tree_and_front_coding():
     r = random.Random(1)
     runs = [sorted({bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))) for _ in range(40)}) for _ in range(7)]
