@@ -16,9 +16,19 @@ RANGES = 256
 def _ranged(df: DataFrame, key: Column, ranges: int) -> DataFrame:
     steps = [i / ranges for i in range(1, ranges)]
     cuts = df.agg(F.percentile_approx(key, steps, 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    range_ = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < key)) if cuts else F.lit(0)
-    return df.withColumn("_range", range_)
+    return df.withColumn("_range", _below(sorted(set(cuts)), key))
+
+
+def _below(cuts: list, key: Column, width: int = 16) -> Column:
+    """How many of the sorted cuts are less than key, by a chunk first and then inside it."""
+    if not cuts:
+        return F.lit(0)
+    chunks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    lits = lambda values: F.array(*(F.lit(v) for v in values))
+    count = lambda a: F.size(F.filter(a, lambda c: c < key))
+    passed = count(lits([c[-1] for c in chunks]))
+    inside = F.coalesce(count(F.get(F.array(*(lits(c) for c in chunks)), passed)), F.lit(0))
+    return F.least(passed * width, F.lit(len(cuts))) + F.greatest(inside, F.lit(0))
 
 
 def _offsets(ranged: DataFrame, value: Column) -> DataFrame:
