@@ -266,7 +266,8 @@ class NearDuplicates:
     def links(self) -> DataFrame:
         """Confirmed links (a, b) between classes: enough of them for the components, none that does not hold."""
         bands = self.classes.select("set_key", "sketch").mapInArrow(_bands, "band int, key long, set_key long")
-        buckets = bands.groupBy("band", "key").agg(F.min("set_key").alias("low"), F.count("*").alias("n")).where("n > 1")
+        # staged, so that both sides of the join are plain exchanges and AQE can split a hot bucket
+        buckets = stage(bands.groupBy("band", "key").agg(F.min("set_key").alias("low"), F.count("*").alias("n")).where("n > 1"))
         members = stage(bands.join(buckets, ["band", "key"]))
         tried = stage(members.where("set_key <> low").select(F.col("low").alias("a"), F.col("set_key").alias("b")).distinct())
         first = stage(self._confirmed(tried))
