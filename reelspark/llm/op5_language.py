@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, mix64, slices, table
+from .common import give_back, lean, mix64, slices, table
 
 #: Labelled rows that the model is fitted on at most, and segments taken from them.
-SAMPLE_ROWS, SAMPLE_SEGMENTS = 600, 3000
+SAMPLE_ROWS, SAMPLE_SEGMENTS = 600, 2000
 SEGMENT, EPOCHS, BUCKETS, SEED = 64, 25, 1 << 16, 5
 UND = "und"
 
@@ -59,7 +59,7 @@ def features(words: list[str], lexicon: set[str]) -> tuple[np.ndarray, np.ndarra
     own = [i for i, w in enumerate(words) if w in lexicon]
     out.append((np.array(own, dtype=np.int64), np.array([xxhash.xxh3_64_intdigest(words[i]) for i in own], dtype=np.uint64)))
     who, h = (np.concatenate(x) for x in zip(*out, strict=True))
-    return who, (h % np.uint64(BUCKETS)).astype(np.int64)
+    return who.astype(np.int32), (h % np.uint64(BUCKETS)).astype(np.int32)
 
 
 class Model:
@@ -139,9 +139,14 @@ def words_of(texts: pa.Array) -> pa.ListArray:
 
 
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, segments: int = SAMPLE_SEGMENTS) -> Model | None:
-    """Fit on at most rows rows (text, lang) of labelled, in the order of a seeded hash of the text."""
-    sample = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    sample = sample.orderBy(F.xxhash64("text", F.lit(SEED)), "lang").limit(rows).collect()
+    """Fit on at most rows rows of labelled (doc_id, text, lang), in the order of a seeded hash.
+
+    The rows are counted first, so that about twice as many as wanted pass the hash and travel at all.
+    """
+    some = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
+    order = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 40))
+    least = int(min(1.0, 2 * rows / max(1, some.count())) * (1 << 40))
+    sample = some.withColumn("_order", order).where(F.col("_order") <= least).orderBy("_order", "lang").limit(rows).select("lang", "text").collect()
     labels = sorted({r.lang for r in sample})
     if not labels:
         return None
@@ -162,7 +167,9 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, segments: int = SAMPLE_S
         (a, x), (b, y) = pieces[i], pieces[j]
         a, b = a[: int(rng.integers(1, SEGMENT // 2 + 1))], b[: int(rng.integers(1, SEGMENT // 2 + 1))]
         data.append((a + b, np.array([x] * len(a) + [y] * len(b))))
-    return Model(labels, {w for w, n in counts.items() if n > 2}).fit(data)
+    model = Model(labels, {w for w, n in counts.items() if n > 2}).fit(data)
+    give_back()
+    return model
 
 
 class Tagger:
