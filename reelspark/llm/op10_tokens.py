@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import lean, scratch, stage, table
 
-FILE_IDS, BLOCK_IDS, MAX_BITS = 1 << 21, 1 << 10, 18
+FILE_IDS, BLOCK_IDS, MAX_BITS = 1 << 19, 1 << 9, 18
 #: Bytes of text that are encoded together.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 8 << 20
 #: Stands for a null doc_id in a file.
 NO_ID = -(1 << 63)
 HEAD = "<4sIQQII"
@@ -72,7 +72,7 @@ class Encoder:
     kept. A tokenizer without these properties, which are tried on examples, encodes whole texts.
     """
 
-    KEEP = 450_000
+    KEEP = 600_000
     PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
     TRIES = ("Ab \0\n cD", "Élan vît, ÀÖØöøÿß. The end. (x) Don't, 'S it's: <|endoftext|> a_b É1é x--", " a  b\n\nc, ")
 
@@ -220,7 +220,7 @@ class Code:
     def decoder(self) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and length for every value of the next self.bits bits."""
         spread = 1 << (self.bits - self.sizes)
-        symbol, size = (np.zeros(1 << self.bits, dtype=np.int64) for _ in range(2))
+        symbol, size = np.zeros(1 << self.bits, dtype=np.uint32), np.zeros(1 << self.bits, dtype=np.int32)
         total = int(spread.sum())
         symbol[:total], size[:total] = np.repeat(self.symbols, spread), np.repeat(self.sizes, spread)
         return symbol, size
@@ -248,18 +248,18 @@ def unpack(bits: bytes, offsets: np.ndarray, n: int, code: Code, tables: tuple[n
     symbol, size = tables
     raw = np.frombuffer(bits + b"\0\0\0\0", dtype=np.uint8).astype(np.uint32)
     next32 = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
-    at, out = offsets.astype(np.int64), np.zeros((len(offsets), block), dtype=np.uint32)
+    at, out = offsets.astype(np.int32 if len(bits) < 1 << 28 else np.int64), np.zeros((block, len(offsets)), dtype=np.uint32)
     last = n - (len(offsets) - 1) * block
-    mask, room = (1 << code.bits) - 1, 32 - code.bits
+    mask, room = np.uint32((1 << code.bits) - 1), 32 - code.bits
     for step in range(block):
         if step == last and len(at):
             at = at[:-1]
         if not len(at):
             break
-        window = (next32[at >> 3].astype(np.int64) >> (room - (at & 7))) & mask
-        out[: len(at), step] = symbol[window]
+        window = next32[at >> 3] >> (room - (at & 7)).astype(np.uint32) & mask
+        out[step, : len(at)] = symbol[window]
         at = at + size[window]
-    return out.reshape(-1)[:n]
+    return out.T.reshape(-1)[:n]
 
 
 def _tokenise(path: str, end_id: int):
