@@ -458,7 +458,8 @@ class SuffixDedup:
     def intervals(self) -> tuple[DataFrame, DataFrame]:
         """((rid, lo, hi) under repeated windows, packed texts of the rows that may have some)."""
         runs = self.profile.select("rid", F.inline(F.arrays_zip("place", "gram")))
-        again = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.when(F.col("n") > HOT, HOT_FLAG).otherwise(0).alias("flag"))
+        # staged, so that both sides of the join are plain exchanges and AQE can split a hot gram
+        again = stage(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.when(F.col("n") > HOT, HOT_FLAG).otherwise(0).alias("flag")))
         kept = runs.join(again, "gram").groupBy("rid").agg(F.collect_set(F.col("place") + F.col("flag")).alias("runs"))
         ranges = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         sent = stage(self.rows.join(kept, "rid").select("rid", "body", "runs").mapInArrow(_send(self.window, ranges), "part int, block binary, rid long, lo int, hi int, text binary"))
