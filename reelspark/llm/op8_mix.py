@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import WORD, stage, table
 
 #: Documents of one source and length are ranked in parts of about this many, so that a hot length is not one task.
-PART = 4096
+PART = 512
 #: Bounds the bit sets of the knapsack (bits); a greedy fill leaves it at most half of that.
 KNAPSACK = 1 << 16
 
