@@ -76,16 +76,18 @@ dist AS (SELECT a.token, min(sqrt((a.f - b.f) * (a.f - b.f) + (a.y - b.y) * (a.y
 def _grid_distance(spark, d):
     """Least distance on the grid from each visible token to the hidden ones of its sample.
 
-    Tokens of a sample are an array, so the nearest join is a fold inside one row and never a join of all with all.
+    A sample is 512 tokens, 8 frames of 8 x 8, over the whole table; one without hidden tokens gives no rows. The SQL
+    knows only the first sample, so the two agree on tables of up to 512 vectors. Tokens of a sample are an array, so
+    the nearest join is a fold inside one row and never a join of all with all.
     """
     f, y, x = A.token_position(F.col("vec_id"), 8, 8)
-    c = table(spark, d, "embeddings").where("vec_id < 512").select((F.col("vec_id") >= 512).cast("int").alias("sample"), F.struct(F.col("vec_id").alias("token"), f.alias("f"), y.alias("y"), x.alias("x"), (F.col("label") < 3).alias("hidden")).alias("t"))
+    c = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 512).alias("sample"), F.struct(F.col("vec_id").alias("token"), f.alias("f"), y.alias("y"), x.alias("x"), (F.col("label") < 3).alias("hidden")).alias("t"))
     s = c.groupBy("sample").agg(F.collect_list("t").alias("all"))
     sq = lambda v: v * v
     hidden = F.filter("all", lambda t: t["hidden"])
     nearest = lambda t: F.array_min(F.transform(hidden, lambda h: F.sqrt((sq(t["f"] - h["f"]) + sq(t["y"] - h["y"]) + sq(t["x"] - h["x"])).cast("double"))))
     seen = F.filter("all", lambda t: ~t["hidden"])
-    return s.select(F.inline(F.transform(seen, lambda t: F.struct(t["token"].alias("token"), nearest(t).alias("dmin")))))
+    return s.where(F.size(hidden) > 0).select(F.inline(F.transform(seen, lambda t: F.struct(t["token"].alias("token"), nearest(t).alias("dmin")))))
 
 
 @query(_GRID + "SELECT token, round(dmin, 6) AS dmin FROM dist")
