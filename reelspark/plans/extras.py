@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import hooks
+from ..operators.indexing import global_index
 from .registry import query, table
 
 E = "(SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
@@ -62,11 +63,17 @@ def mask_set_algebra(spark, d):
 
 @query(f"""SELECT m * 500 + v AS row_id, v AS vec_id, m AS mask_id, round(CASE m WHEN 0 THEN e[1] + e[3] ELSE e[8] + e[8] END, 6) AS total FROM (SELECT vec_id AS v, e FROM {E} WHERE vec_id < 500), range(2) r(m)""")
 def mask_concat(spark, d):
-    """Masks gathered one after the other, the rows of the first mask before those of the second."""
+    """Masks gathered one after the other, the rows of the first mask before those of the second.
+
+    A row's id is its place among all vectors, moved by the number of vectors for each mask before its own. The SQL
+    is written for 500 vectors with ids from 0, so the two agree on tables of that size.
+    """
     masks = F.array(F.array(F.lit(0), F.lit(2)), F.array(F.lit(7), F.lit(7)))
-    t = table(spark, d, "embeddings").where("vec_id < 500").select("vec_id", A.dbl(F.col("embedding")).alias("e"), F.posexplode(masks).alias("mask_id", "mask"))
+    e = table(spark, d, "embeddings").select("vec_id", A.dbl(F.col("embedding")).alias("e"))
+    n = F.broadcast(e.agg(F.count("*").alias("n")))  # one row
+    t = global_index(e, "vec_id", "place").crossJoin(n).select("vec_id", "e", "place", "n", F.posexplode(masks).alias("mask_id", "mask"))
     m = F.col("mask_id").cast("long")
-    return t.select((m * 500 + F.col("vec_id")).alias("row_id"), "vec_id", m.alias("mask_id"), F.round(A.fold(A.gather(F.col("e"), F.col("mask"))), 6).alias("total"))
+    return t.select((m * F.col("n") + F.col("place")).alias("row_id"), "vec_id", m.alias("mask_id"), F.round(A.fold(A.gather(F.col("e"), F.col("mask"))), 6).alias("total"))
 
 
 @query("""SELECT extract(day FROM ts)::BIGINT AS epoch, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY 1""")

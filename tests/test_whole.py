@@ -26,3 +26,13 @@ def test_grid_distance_of_every_sample(spark, tmp_path):
     loss = catalogue.QUERIES["distance_weighted_loss"](spark, str(tmp_path)).first()
     mean = sum(sum(map(abs, rows[i][1])) / 64 / x for i, x in want.items()) / len(want)
     assert loss.n == len(want) and abs(loss.loss - mean) < 2e-6
+
+
+def test_mask_concat_of_every_vector(spark, tmp_path):
+    rows = _vectors(spark, tmp_path, 700, lambda i: i % 10)
+    got = {r.row_id: r for r in catalogue.QUERIES["mask_concat"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(1400))
+    for row_id, r in got.items():
+        e = rows[row_id % 700][1]
+        assert (r.mask_id, r.vec_id) == divmod(row_id, 700)
+        assert abs(r.total - (e[0] + e[2] if r.mask_id == 0 else e[7] + e[7])) < 1e-5
