@@ -98,11 +98,20 @@ def model_scores(spark, d):
     return s.select("vec_id", F.round(F.get("s", 0), 6).alias("s0"), F.round(F.get("s", 1), 6).alias("s1"))
 
 
+def _sliding_windows(spark, docs):
+    spark.udtf.register("sliding_windows", hooks.windows_udtf())
+    return spark.sql("SELECT doc_id, w.first, w.last FROM {docs}, LATERAL sliding_windows(0L, n_chars, 512L, 256L) w", docs=docs.select("doc_id", "n_chars"))
+
+
 @query("SELECT doc_id, k * 256 AS first, k * 256 + 511 AS last FROM documents, range(200) r(k) WHERE k * 256 + 512 <= n_chars AND n_chars < 20000")
 def udtf_windows(spark, d):
-    spark.udtf.register("sliding_windows", hooks.windows_udtf())
-    docs = table(spark, d, "documents").where("n_chars < 20000").select("doc_id", "n_chars")
-    return spark.sql("SELECT doc_id, w.first, w.last FROM {docs}, LATERAL sliding_windows(0L, n_chars, 512L, 256L) w", docs=docs)
+    """Bound to its SQL, which stops before the documents of 20,000 characters; udtf_windows_all has them all."""
+    return _sliding_windows(spark, table(spark, d, "documents").where("n_chars < 20000"))
+
+
+@query("SELECT doc_id, first, first + 511 AS last FROM (SELECT doc_id, unnest(range(0, n_chars - 511, 256)) AS first FROM documents)")
+def udtf_windows_all(spark, d):
+    return _sliding_windows(spark, table(spark, d, "documents"))
 
 
 @query("SELECT conv_id, turn, length(text)::BIGINT AS n FROM conversations WHERE role = 'user' UNION ALL SELECT NULL, NULL, NULL FROM conversations WHERE role <> 'user'")

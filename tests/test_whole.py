@@ -36,3 +36,12 @@ def test_mask_concat_of_every_vector(spark, tmp_path):
         e = rows[row_id % 700][1]
         assert (r.mask_id, r.vec_id) == divmod(row_id, 700)
         assert abs(r.total - (e[0] + e[2] if r.mask_id == 0 else e[7] + e[7])) < 1e-5
+
+
+def test_windows_and_clips_of_long_documents(spark, tmp_path):
+    sizes = {1: 0, 2: 511, 3: 512, 4: 999, 5: 1000, 6: 20_000, 7: 60_001}
+    spark.createDataFrame(list(sizes.items()), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalogue.QUERIES["udtf_windows_all"](spark, str(tmp_path)).collect())
+    assert got == [(i, k, k + 511) for i, n in sizes.items() for k in range(0, n - 511, 256)]
+    got = sorted(tuple(r) for r in catalogue.QUERIES["clip_plan_explode_all"](spark, str(tmp_path)).collect())
+    assert got == [(i, c, n, int(2.5 * n / 16)) for i, n in sizes.items() for c in range(4)]
