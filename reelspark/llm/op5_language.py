@@ -6,8 +6,8 @@ segments and from segments spliced of two languages, so that code-switched text
 labelled by forward-backward over segments of up to SEGMENT words, and a text's score for a language is the mean
 posterior of its words that have a letter.
 
-The model is fitted on the driver from a bounded, seeded sample of labelled rows (SAMPLE_ROWS), whole texts;
-prediction covers all words of all texts.
+The model is fitted on the driver from a bounded, seeded sample of labelled rows (SAMPLE_ROWS), whole texts, in which
+every label of the table has its share; prediction covers all words of all texts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; null labels are not learned from; a
 null doc_id counts as its own text "" when it is dealt to the held-out part; repeated rows are predicted each; an
@@ -17,18 +17,19 @@ empty table, or one without labels, gives `und` throughout; other columns are ig
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, lean, mix64, slices, table
 
-#: Labelled rows that the model is fitted on at most, and segments taken from them.
+#: Labelled rows that the model is fitted on at most, and segments taken from them; both are shared out over the labels.
 SAMPLE_ROWS, SAMPLE_SEGMENTS = 600, 2000
 SEGMENT, EPOCHS, BUCKETS, SEED = 64, 25, 1 << 16, 5
 UND = "und"
@@ -138,15 +139,34 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(pc.utf8_trim(letters, " "), " ")
 
 
+def shares(counts: dict[str, int], total: int) -> dict[str, int]:
+    """How many of its items each label gives to a sample of total: even shares, and what rare labels leave over goes to the others.
+
+    Each label gives one at least, also where there are more labels than total.
+    """
+    out: dict[str, int] = {}
+    for i, label in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[label] = min(counts[label], max(1, (total - sum(out.values())) // (len(counts) - i)))
+    return out
+
+
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, segments: int = SAMPLE_SEGMENTS) -> Model | None:
-    """Fit on at most rows rows of labelled (doc_id, text, lang), in the order of a seeded hash.
+    """Fit on at most rows rows of labelled (doc_id, text, lang), shared out over all labels, in the order of a seeded hash.
 
-    The rows are counted first, so that about twice as many as wanted pass the hash and travel at all.
+    The rows of each label are counted first, so that few more than wanted pass the hash and are ordered at all; a
+    label's first row passes whatever its hash is. Rows without a letter have nothing to learn from and take no place.
     """
-    some = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    order = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 40))
-    least = int(min(1.0, 2 * rows / max(1, some.count())) * (1 << 40))
-    sample = some.withColumn("_order", order).where(F.col("_order") <= least).orderBy("_order", "lang").limit(rows).select("lang", "text").collect()
+    some = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    some = some.withColumn("_order", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 40)))
+    found = some.groupBy("lang").agg(F.count("*").alias("n"), F.min("_order").alias("first")).collect()
+    if not found:
+        return None
+    quota = shares({r.lang: r.n for r in found}, rows)
+    bounds = [(r.lang, max(r.first, int(min(1.0, (2 * quota[r.lang] + 40) / r.n) * (1 << 40))), quota[r.lang]) for r in found]
+    limits = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, _least long, _quota long"))  # one row per label
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "text"))
+    near = some.join(limits, "lang").where(F.col("_order") <= F.col("_least")).withColumn("_place", place)
+    sample = near.where(F.col("_place") <= F.col("_quota")).orderBy("_order", "lang", "text").select("lang", "text").collect()
     labels = sorted({r.lang for r in sample})
     if not labels:
         return None
@@ -157,7 +177,12 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, segments: int = SAMPLE_S
         pieces += [(ws[i : i + SEGMENT], labels.index(r.lang)) for i in range(0, len(ws), SEGMENT)]
     if not pieces:
         return None
-    pieces = [pieces[i] for i in rng.permutation(len(pieces))[:segments]]
+    left = shares(dict(Counter(label for _, label in pieces)), segments)
+    mixed, pieces = [pieces[i] for i in rng.permutation(len(pieces))], []
+    for ws, label in mixed:
+        if left[label]:
+            left[label] -= 1
+            pieces.append((ws, label))
     counts: dict[str, int] = {}
     for ws, _ in pieces:
         for w in ws:
