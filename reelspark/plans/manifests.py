@@ -206,9 +206,14 @@ def skip_batches(spark, d):
 
 @query("""SELECT i AS itr, doc_id FROM range(1500) r(i) JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents) ON place = i % n""")
 def cyclic_refill(spark, d):
-    docs = global_index(table(spark, d, "documents").select("doc_id"), "doc_id", "place")
-    n = F.broadcast(docs.agg(F.count("*").alias("n")))
-    return spark.range(1500).withColumnRenamed("id", "itr").crossJoin(n).withColumn("place", F.col("itr") % F.col("n")).join(docs, "place").select("itr", "doc_id")
+    """Draws go round the documents: 1,500, or one and a half rounds where that is more, so that all are met and it wraps.
+
+    The SQL has 1,500 draws, so the two agree on tables of up to 1,000 documents.
+    """
+    ids = table(spark, d, "documents").select("doc_id")
+    docs, n = global_index(ids, "doc_id", "_place"), ids.count()
+    draws = spark.range(max(1500, n + n // 2)).select(F.col("id").alias("itr"), (F.col("id") % max(n, 1)).alias("_place"))
+    return draws.join(docs, "_place").select("itr", "doc_id")
 
 
 @query("""SELECT doc_id, round(('0x' || substr(md5('3:0:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 1.5 + 0.25, 9) AS ahead FROM documents""")
@@ -234,10 +239,19 @@ def state_key_rename(spark, d):
     return table(spark, d, "documents").select(F.explode(F.map_keys(renamed)).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
+def _log_lines(events):
+    return events.select(F.format_string("%d,%05d,%.3f", F.dayofmonth("ts"), "event_id", "value").alias("line"))
+
+
 @query("""SELECT format('{:d},{:05d},{:.3f}', extract(day FROM ts)::INT, event_id, value) AS line FROM events WHERE event_id < 200""")
 def csv_log_lines(spark, d):
-    day = F.dayofmonth("ts")
-    return table(spark, d, "events").where("event_id < 200").select(F.format_string("%d,%05d,%.3f", day, "event_id", "value").alias("line"))
+    """Bound to its SQL, which stops before event 200; csv_log_lines_all has all events."""
+    return _log_lines(table(spark, d, "events").where("event_id < 200"))
+
+
+@query("""SELECT format('{:d},{:05d},{:.3f}', extract(day FROM ts)::INT, event_id, value) AS line FROM events""")
+def csv_log_lines_all(spark, d):
+    return _log_lines(table(spark, d, "events"))
 
 
 @query("""SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 5""")
