@@ -137,25 +137,31 @@ def words(text):
 
 
 def brute_leaks(docs, items):
+    """Best (overlap, matched, first word) of each (doc_id, item_id), over all ways to lay an item on a text."""
     best = {}
     for i, t, *_ in docs:
         d = words(t)
         for item, text in items:
             b = words(text)
             n = min(13, len(b))
-            if len(b) < 5:
-                continue
-            for shift in range(-len(b), len(d)):
+            for shift in range(-len(b), len(d)) if b and set(b) & set(d) else ():
                 same = [0 <= shift + k < len(d) and d[shift + k] == b[k] for k in range(len(b))]
-                top = max(sum(same[s : s + n]) for s in range(len(b) - n + 1))
-                if top >= 0.8 * n:
-                    best[i, item] = max(best.get((i, item), 0), top / n)
-    return best
+                if sum(same) < 0.8 * n:
+                    continue
+                for s in range(len(b) - n + 1):
+                    top = sum(same[s : s + n])
+                    if top >= 0.8 * n:
+                        best[i, item] = max(best.get((i, item), (0, 0, 0)), (top / n, top, -(shift + s)))
+    return {k: (x, m, -back) for k, (x, m, back) in best.items()}
+
+
+def found_leaks(spark, d):
+    return {(r.doc_id, r.item_id): (r.overlap, r.matched, r.doc_start) for r in op4_decontaminate.op4_decontaminate(spark, d).collect()}
 
 
 def test_leaks(spark, tmp_path):
     r = random.Random(8)
-    items = [(i, X.prose(n, 700 + i, 3000)) for i, n in enumerate((30, 45, 20, 14, 5, 4, 13))] + [(98, None), (99, "")]
+    items = [(i, X.prose(n, 700 + i, 3000)) for i, n in enumerate((30, 45, 20, 14, 5, 4, 13))] + [(98, None), (99, ""), (None, X.prose(16, 790, 3000))]
     rows = [x for x in X.texts() if x[0] != 1]
     for k in range(30):
         item = words(items[k % 5][1])
@@ -164,11 +170,54 @@ def test_leaks(spark, tmp_path):
             w[at] = "swapped"
         lo = r.randint(0, len(w) // 4)
         rows.append((2000 + k, X.prose(r.randint(0, 40), 800 + k) + " " + " ".join(w[lo:]) + "  " + X.prose(r.randint(0, 40), 900 + k).upper(), "en", "a"))
+    rows += [(2100, items[-1][1], "en", "a"), (None, "so " + items[0][1], "en", "a")]
     d = X.write(spark, tmp_path, rows, benchmark=spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, hashes string"))
-    got = {(r.doc_id, r.item_id): r.overlap for r in op4_decontaminate.op4_decontaminate(spark, d).collect()}
     want = brute_leaks(rows, items)
-    longer = {k: v for k, v in want.items() if len(words(dict(items)[k[1]])) >= 13}
-    assert {k: v for k, v in got.items() if k in longer} == longer and set(got) <= set(want) and len(longer) > 15
+    assert found_leaks(spark, d) == want and len(want) > 25 and (2100, None) in want and (None, 0) in want
+
+
+def test_leaks_of_all_lengths_and_places(spark, tmp_path, monkeypatch):
+    """Items of 1 to 40 words, each with as many words replaced as 0.8 allows, at random places and at all of the worst ones."""
+    monkeypatch.setattr(op4_decontaminate, "PIECE", 16)
+    r = random.Random(3)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 41)]
+    rows = []
+    for n, text in items:
+        size = min(13, n)
+        spare = size - next(k for k in range(size + 1) if k >= 0.8 * size)
+        ways = {tuple(sorted(r.sample(range(size), spare))) for _ in range(6)} | {tuple(range(at, at + spare)) for at in range(size - spare + 1)}
+        for way in ways:
+            at = r.randint(0, n - size)
+            w = text.split()[at : at + size]
+            for k in way:
+                w[k] = "other"
+            rows.append((len(rows), X.prose(r.randint(0, 20), len(rows)) + " " + " ".join(w) + " " + X.prose(r.randint(0, 20), 5000 + len(rows)), "en", "a"))
+            for k in range(size):  # one more replaced
+                if k not in way:
+                    w[k] = "other"
+                    break
+            rows.append((len(rows), " ".join(w), "en", "a"))
+    d = X.write(spark, tmp_path, rows, benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_leaks(rows, items)
+    assert found_leaks(spark, d) == want and len({i for _, i in want}) == 40
+
+
+def test_leaks_of_long_and_repeating_items(spark, tmp_path):
+    long_ = X.prose(20_000, 11, 4000)
+    again = "go on " * 600
+    rows = [(1, long_, "en", "a"), (2, "well " + long_[: len(long_) // 2], "en", "a"), (3, again, "en", "a"), (4, X.prose(500, 12), "en", "a")]
+    items = [(7, long_), (8, again), (9, again + "x"), (10, long_)]
+    d = X.write(spark, tmp_path, rows, benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    got = found_leaks(spark, d)
+    assert got == {(1, 7): (1.0, 13, 0), (1, 10): (1.0, 13, 0), (2, 7): (1.0, 13, 1), (2, 10): (1.0, 13, 1), (3, 8): (1.0, 13, 0), (3, 9): (1.0, 13, 0)}
+
+
+def test_clean_keeps_rows_apart(spark):
+    item = X.prose(30, 1)
+    rows = [(None, "so " + item, 1), (None, "clean", 2), (None, None, 3), (5, item, 4), (5, "clean too", 5), (5, "clean too", 5)]
+    docs = spark.createDataFrame([(*x, 0, "c") for x in rows], "doc_id long, text string, r1 int, c1 int, row string")
+    left = op4_decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(x.r1 for x in left.collect()) == [2, 3, 5, 5]
 
 
 def test_leaks_without_broadcast(spark, tmp_path, monkeypatch):
