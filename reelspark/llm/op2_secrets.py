@@ -4,8 +4,12 @@ Every historical version of a file, here every whole text, is a blob addressed b
 which (blob, rule version) pairs have been scanned and what was found. A scan takes only the pairs that are not
 in it, each once however many paths hold the blob, adds them, and joins the findings back to every path.
 
-Spans are kind:start:end in code points, end exclusive. Base kinds: assign, access, hex. Rule version 2 adds pem,
-the armour line of a private key; base spans stay as they are.
+The ledger is what its folder holds: a scan's findings are a part of their own, which counts once its row is in
+path/commits. A second object on the same path goes on where the first ended, and what a failed scan left behind is
+never read. One writer at a time.
+
+Spans are kind:start:end in code points, end exclusive. Base kinds, rule version 1: assign, access, hex. Rule version 2
+adds pem, the armour line of a private key; base spans stay as they are.
 
 Defined results: a null text is the empty text; a null path id keeps its row; repeated rows are paths of their
 own and share a blob; an empty table gives an empty result; other columns are ignored.
@@ -21,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, scratch, slices, stage, table
+from .common import Commits, lean, scratch, slices, stage, table
 
-RULE_VERSION = 2
 KINDS = ("assign", "access", "hex", "pem")
+#: Rule version -> how many of the kinds it looks for.
+RULES = {1: 3, 2: 4}
+RULE_VERSION = 2
 
 
 def _either(words: str) -> str:
@@ -39,13 +45,13 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
 
 
-def find_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, rank of kind, kind:start:end), in the order in which spans are joined."""
+def find_spans(text: str, kinds: int = len(KINDS)) -> list[tuple[int, int, str]]:
+    """(start, rank of kind, kind:start:end) of the first so many kinds, in the order in which spans are joined."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if "PRIVATE KEY" in text:
+    if kinds > 3 and "PRIVATE KEY" in text:
         out += [(m.start(), 3, m.end()) for m in PEM.finditer(text)]
     return [(s, k, f"{KINDS[k]}:{s}:{e}") for s, k, e in sorted(out)]
 
@@ -53,32 +59,37 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
 FINDINGS = "blob binary, rule_version int, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        found = [find_spans(t) for t in b.column("text").to_pylist()]
-        base = [",".join(x for _, k, x in f if k < 3) for f in found]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "blob": b.column("blob"),
-                "rule_version": pa.array([RULE_VERSION] * b.num_rows, pa.int32()),
-                **{f"n_{kind}": pa.array([sum(k == rank for _, k, _ in f) for f in found], pa.int64()) for rank, kind in enumerate(KINDS[:3])},
-                "base_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in base],
-                "spans": [",".join(x for _, _, x in f) for f in found],
-            }
-        )
+def _scan(version: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [find_spans(t, RULES[version]) for t in b.column("text").to_pylist()]
+            base = [",".join(x for _, k, x in f if k < 3) for f in found]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "blob": b.column("blob"),
+                    "rule_version": pa.array([version] * b.num_rows, pa.int32()),
+                    **{f"n_{kind}": pa.array([sum(k == rank for _, k, _ in f) for f in found], pa.int64()) for rank, kind in enumerate(KINDS[:3])},
+                    "base_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in base],
+                    "spans": [",".join(x for _, _, x in f) for f in found],
+                }
+            )
+
+    return lean(run)
 
 
 class BlobLedger:
     """Findings by (blob, rule_version), appended part by part in a shared folder."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.parts = spark, path or scratch(spark), []
+        self.spark, self.path = spark, path or scratch(spark)
+        self.commits = Commits(spark, self.path)
+        self.parts = [part for _, part, _ in self.commits.rows()]
 
     def findings(self) -> DataFrame | None:
-        return self.spark.read.schema(FINDINGS).parquet(*self.parts) if self.parts else None
+        return self.spark.read.schema(FINDINGS).parquet(*(f"{self.path}/part-{p}" for p in self.parts)) if self.parts else None
 
-    def scan(self, versions: DataFrame, path_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """Findings of every row of versions: path_id, blob and the findings' columns.
+    def scan(self, versions: DataFrame, path_id: str = "doc_id", text: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
+        """Findings of every row of versions under rule_version: path_id, blob and the findings' columns.
 
         A blob's text crosses the network once from each task that holds it, however many paths share it there.
         """
@@ -87,11 +98,12 @@ class BlobLedger:
         unseen = addressed.groupBy("blob").agg(F.first("text").alias("text"))
         known = self.findings()
         if known is not None:
-            unseen = unseen.join(known.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-        part = f"{self.path}/part-{len(self.parts)}"
-        stage(unseen.select("blob", "text").mapInArrow(lean(_scan), FINDINGS), part)
+            unseen = unseen.join(known.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+        part = self.commits.fresh()
+        stage(unseen.select("blob", "text").mapInArrow(_scan(rule_version), FINDINGS), f"{self.path}/part-{part}")
+        self.commits.add(len(self.parts) + 1, part)
         self.parts.append(part)
-        now = self.findings().where(F.col("rule_version") == RULE_VERSION)
+        now = self.findings().where(F.col("rule_version") == rule_version)
         return addressed.select("path_id", "blob").join(now, "blob").withColumnRenamed("path_id", path_id)
 
 

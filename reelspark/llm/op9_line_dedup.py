@@ -1,37 +1,47 @@
 """Line dedup, reversible: sharded cuckoo filters backed by exact reference-count tables.
 
-`LineIndex` keeps a log of references (key, doc_id, +1 or -1). Inserting documents appends +1 rows, deleting
-them appends -1 rows, and the exact table, key -> documents and largest document, follows from the log. Each
-shard of the key space has a cuckoo filter of the keys that are frequent enough to lose lines; the filter takes
-insertions and deletions in place when keys cross the threshold. A document's lines meet the filters first;
-only hits are looked up in the exact table, which has the last word, so a false positive costs a lookup and
-never a line.
-
-Keys travel as 128-bit digests. Lines of one document that share a key are one reference.
-
-Defined results: a null or empty text is one empty line; a null doc_id is dropped from the references, and its
-lines stay; rows that share a doc_id are one document when documents are counted; an empty table gives an empty
-result; other columns are ignored.
+`LineIndex` keeps the set of references (key, doc_id) as a log of changes, the exact table key -> documents and
+largest document, and for each shard of the key space a cuckoo filter of the keys that are frequent enough to lose
+lines. A change touches what its keys touch: it reads the references of these keys, appends what really changes to the
+log and their new counts to the exact table, and puts keys into the filters, or takes them out, that cross the
+threshold. Documents to be cleaned send their references to the filters, shard by shard; only hits are looked up in
+the exact table, which has the last word, so a false positive costs a lookup and never a line.
+
+The state is what the folder holds: parts count once their row is in path/commits, so an index is opened again by its
+path, and what a failed change left behind is never read. One writer at a time.
+
+A shard's references are dealt to groups of about GROUP rows, each with a copy of the shard's filter; keys that very
+many documents hold are looked up in several copies of their row. Neither depends on how large the table is.
+
+Keys are 128 bits of two hashes of the line's key. Lines of one document that share a key are one reference.
+
+Defined results: inserting a reference that is there and deleting one that is not change nothing, so counts never go
+below what documents hold and an insert may be repeated; deleting takes the references of the text that is given; a
+null or empty text is one empty line; a null doc_id has no references, and its lines stay; rows that share a doc_id
+are one document when documents are counted; repeated rows change nothing; an empty table gives an empty result;
+other columns are kept by `apply` unless their names are those of its results.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, scratch, stage, table
+from .common import LOWER, UPPER, Commits, lean, row_key, scratch, slices, stage, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Shards of the key space (a power of two, at most 256): the first bits of the digest.
-SHARDS = 64
-#: Filters of more bytes than this are not sent to every task; the exact table then takes all lookups by a join.
-FILTER_BYTES = 64 << 20
-#: A key's row in the exact table is repeated so often for the lookup; a line in a third of all documents is split.
-SALTS = 16
+#: References that one group of a shard holds on average; an index has a shard for each SHARD_ROWS of its first load.
+GROUP, SHARD_ROWS, MAX_SHARDS = 8192, 1 << 18, 1 << 16
+#: Keys of more documents than this are looked up in several copies; at most HOT_KEYS keys are, whatever the table.
+HOT, HOT_KEYS = 8192, 100_000
+KEY = ["h1", "h2"]
 
 
 class CuckooFilter:
@@ -91,141 +101,270 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), UPPER, LOWER)
 
 
-def digest(key: Column) -> Column:
-    return F.unhex(F.substring(F.sha2(key, 256), 1, 32))
-
-
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+#: What a seed becomes in Spark's xxhash64(seed, key): the seed is hashed as four bytes under 42.
+_SEEDS = tuple(xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), seed=42) for seed in (1, 2))
+
+
+def python_key(line: bytes, min_chars: int) -> tuple[int, int] | None:
+    """(h1, h2) of a line in UTF-8, as references() has them; None if its key is short."""
+    key = line.strip(b" \t\n\x0b\x0c\r").lower()
+    if len(key) < min_chars or (not key.isascii() and len(key.decode("utf-8", "surrogatepass")) < min_chars):
+        return None
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh64_intdigest(key, seed=s) for s in _SEEDS))
+
+
 def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, key): the distinct long keys of each row's text."""
+    """(h1, h2, doc_id): the distinct long keys of each document."""
     long_keys = F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.length(k) >= min_chars)
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.transform(long_keys, digest))).alias("key"))
+    keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(long_keys).alias("key"))
+    first, second = row_key(F.col("key"))
+    return keyed.select(first.alias("h1"), second.alias("h2"), "doc_id").distinct()
+
+
+def shard_of(shards: int) -> Column:
+    return F.pmod(F.col("h1"), F.lit(shards)).cast("int").alias("shard")
+
+
+LOG = "h1 long, h2 long, doc_id long, present boolean, version long"
+EXACT = "h1 long, h2 long, n_docs long, last_doc long, version long"
+FILTERS = "shard int, capacity long, slots binary, version long"
+
+
+def _crossing(key, old: pa.Table, changes: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The shard's filter after its changes (h2, present); capacity -1 if the filter that is there has no room."""
+    hashed, present = changes.column("h2").to_numpy().astype(np.uint64), changes.column("present").to_numpy(zero_copy_only=False).astype(bool)
+    put, gone = hashed[present], hashed[~present]
+    if old.num_rows:
+        capacity, slots = old.column("capacity")[0].as_py(), np.frombuffer(old.column("slots")[0].as_py(), dtype=np.uint16).copy()
+        f = CuckooFilter(capacity, slots)
+        f.delete(gone)
+        if not f.insert(put):
+            capacity, f.slots = -1, np.zeros(0, dtype=np.uint16)
+    else:
+        capacity = max(64, 2 * len(put))
+        while not (f := CuckooFilter(capacity)).insert(put):
+            capacity *= 2
+    return pa.table({"shard": [key[0].as_py()], "capacity": [capacity], "slots": [f.slots.tobytes()]}, schema=schema)
+
+
+def _probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (shard, part), the filter first in each; the references that hit it."""
+    ready = None
+    for b in batches:
+        slots = b.column("slots")
+        at = np.flatnonzero(pc.is_valid(slots).to_numpy(zero_copy_only=False))
+        hashed = pc.fill_null(b.column("h2"), 0).to_numpy().astype(np.uint64)
+        hit = np.zeros(b.num_rows, dtype=bool)
+        for lo, hi in zip([0, *(at + 1).tolist()], [*at.tolist(), b.num_rows], strict=True):
+            if lo and slots[lo - 1].is_valid:
+                ready = CuckooFilter(0, np.frombuffer(slots[lo - 1].as_py(), dtype=np.uint16))
+            if hi > lo and ready is not None:
+                hit[lo:hi] = ready.contains(hashed[lo:hi])
+        yield b.select(["h1", "h2", "doc_id"]).filter(pa.array(hit))
+
+
+def _drop(min_chars: int):
+    """Rows with _text and _drop (h1, h2 in turn, or null) -> n_lines, n_dropped, kept_text in place of both."""
+
+    def one(text: bytes, flat: list[int]) -> tuple[int, bytes]:
+        gone, lines = set(zip(flat[::2], flat[1::2], strict=True)), text.split(b"\n")
+        known: dict[bytes, bool] = {}
+        kept = []
+        for line in lines:
+            if len(line) < min_chars:
+                kept.append(line)
+                continue
+            if line not in known:
+                known[line] = python_key(line, min_chars) in gone
+            if not known[line]:
+                kept.append(line)
+        return len(lines) - len(kept), b"\n".join(kept)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2000):
+            text, drop = pc.fill_null(b.column("_text"), ""), b.column("_drop")
+            n_lines = pc.add(pc.cast(pc.count_substring(text, "\n"), pa.int64()), 1)
+            dropped, at = np.zeros(b.num_rows, dtype=np.int64), np.flatnonzero(pc.is_valid(drop).to_numpy(zero_copy_only=False))
+            if len(at):
+                raw = pc.cast(text.take(pa.array(at)), pa.binary()).to_pylist()
+                done = [one(t, d) for t, d in zip(raw, drop.take(pa.array(at)).to_pylist(), strict=True)]
+                dropped[at] = [n for n, _ in done]
+                mask = np.zeros(b.num_rows, dtype=bool)
+                mask[at] = True
+                text = pc.replace_with_mask(text, pa.array(mask), pc.cast(pa.array([k for _, k in done], pa.binary()), pa.string()))
+            others = [n for n in b.schema.names if n not in ("_text", "_drop")]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in others), n_lines, pa.array(dropped), text], [*others, "n_lines", "n_dropped", "kept_text"])
+
+    return lean(run)
 
 
-def _halves(keys: pa.Array) -> np.ndarray:
-    """The last 8 of the 16 bytes of each key, as the 64-bit number that a filter hashes."""
-    raw = np.frombuffer(b"".join(keys.to_pylist()), dtype=">u8").astype(np.uint64)
-    return raw[1::2]
+class LineIndex:
+    """References, counts and filters in a shared folder; a second object on the same path goes on where the first ended."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int | None = None):
+        """shards, min_docs and min_chars are settled by the first load; by default its size gives the number of shards."""
+        self.spark, self.path = spark, path or scratch(spark)
+        self.commits = Commits(spark, self.path)
+        self.min_docs, self.min_chars, self.shards = min_docs, min_chars, shards
+        self.parts: list[str] = []
+        self.version = 0
+        self.open()
+
+    def open(self) -> LineIndex:
+        """Read from the folder which parts count."""
+        for version, part, note in self.commits.rows():
+            made = json.loads(note)
+            self.parts = [part] if made.get("whole") else [*self.parts, part]
+            self.version = version
+            self.min_docs, self.min_chars, self.shards = made["min_docs"], made["min_chars"], made["shards"]
+        return self
 
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        if not self.parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{p}/{kind}" for p in self.parts))
 
-class LineIndex:
-    """Exact references and filters in a shared folder; every change appends or replaces files there."""
+    def log(self) -> DataFrame:
+        """The references that are there: h1, h2, doc_id."""
+        return self._present(self._read("log", LOG))
+
+    def _present(self, log: DataFrame) -> DataFrame:
+        if len(self.parts) <= 1:
+            return log.where("present").select(*KEY, "doc_id")
+        return log.groupBy(*KEY, "doc_id").agg(F.max_by("present", "version").alias("present")).where("present").select(*KEY, "doc_id")
 
-    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_log: bool = True):
-        """Without keep_log the index takes one load and no later change, and writes no references."""
-        self.spark, self.path, self.keep_log = spark, path or scratch(spark), keep_log
-        self.min_docs, self.min_chars, self.version = min_docs, min_chars, 0
-        self.logs: list[str] = []
-        self.filters: DataFrame | None = None
-        self.exact: DataFrame | None = None
+    def counts(self) -> DataFrame:
+        """The exact table: h1, h2, n_docs, last_doc."""
+        return self._latest(self._read("exact", EXACT)).where("n_docs > 0")
+
+    def _latest(self, exact: DataFrame) -> DataFrame:
+        if len(self.parts) <= 1:
+            return exact.drop("version")
+        return exact.groupBy(*KEY).agg(F.max(F.struct("version", "n_docs", "last_doc")).alias("x")).select(*KEY, "x.n_docs", "x.last_doc")
+
+    def filters(self) -> DataFrame:
+        """shard, capacity, slots: a row per shard that ever had a frequent key."""
+        found = self._read("filters", FILTERS)
+        if len(self.parts) <= 1:
+            return found.drop("version")
+        return found.groupBy("shard").agg(F.max_by(F.struct("capacity", "slots"), "version").alias("x")).select("shard", "x.*")
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        return self._change(docs, 1)
+        return self._change(docs, True)
 
     def delete(self, docs: DataFrame) -> LineIndex:
-        return self._change(docs, -1)
-
-    def _change(self, docs: DataFrame, sign: int) -> LineIndex:
-        if self.version and not self.keep_log:
-            raise ValueError("an index without a log can't change")
-        self.version += 1
-        refs = references(docs, self.min_chars)
-        if self.keep_log:
-            self.logs.append(f"{self.path}/log-{self.version}")
-            refs.groupBy("key", "doc_id").agg(F.lit(sign).alias("sign")).write.parquet(self.logs[-1])
-            log = self.spark.read.schema("key binary, doc_id long, sign int").parquet(*self.logs)
-            refs = log.groupBy("key", "doc_id").agg(F.sum("sign").alias("held")).where("held > 0").select("key", "doc_id")
-        # counting distinct ids deals rows out by (key, doc_id) first, so no key is hot
-        counts = refs.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        before, self.exact = self.exact, stage(counts, f"{self.path}/exact-{self.version}")
-        self.filters = stage(self._filters(before), f"{self.path}/filters-{self.version}")
+        return self._change(docs, False)
+
+    def _change(self, docs: DataFrame, present: bool) -> LineIndex:
+        if not self.parts and not present:
+            return self
+        version, part = self.version + 1, self.commits.fresh()
+        at = f"{self.path}/{part}"
+        delta = references(docs, self.min_chars)
+        mark = lambda df: df.withColumns({"present": F.lit(present), "version": F.lit(version).cast("long")})
+        if self.parts:
+            delta = stage(delta, f"{at}/asked")
+            touched = delta.select(*KEY).distinct()
+            held = stage(self._present(self._read("log", LOG).join(touched, KEY, "left_semi")), f"{at}/held")
+            changed = delta.join(held, [*KEY, "doc_id"], "left_anti" if present else "left_semi")
+            changed = stage(mark(changed), f"{at}/log").select(*KEY, "doc_id")
+            after = held.unionByName(changed) if present else held.join(changed, [*KEY, "doc_id"], "left_anti")
+            fresh = touched.join(self._counted(after), KEY, "left").fillna(0, ["n_docs"])
+            before = self._latest(self._read("exact", EXACT).join(touched, KEY, "left_semi")).select(*KEY, F.col("n_docs").alias("before"))
+        else:
+            delta = stage(mark(delta), f"{at}/log").select(*KEY, "doc_id")
+            fresh, before = self._counted(delta), self.spark.createDataFrame([], "h1 long, h2 long, before long")
+        exact = stage(fresh.withColumn("version", F.lit(version).cast("long")), f"{at}/exact")
+        if not self.shards:
+            n = exact.agg(F.sum("n_docs")).first()[0] or 0
+            self.shards = min(MAX_SHARDS, max(16, 1 << (n // SHARD_ROWS).bit_length()))
+        crossed = exact.join(before, KEY, "left") if self.parts else exact.withColumn("before", F.lit(0))
+        now, was = F.col("n_docs") >= self.min_docs, F.coalesce("before", F.lit(0)) >= self.min_docs
+        self._write_filters(crossed.where(now != was).select(shard_of(self.shards), "h2", now.alias("present")), part, version)
+        self.commits.add(version, part, self._note())
+        self.parts, self.version = [*self.parts, part], version
         return self
 
-    def _filters(self, before: DataFrame | None) -> DataFrame:
-        """A filter per shard; after the first load only keys that cross the threshold are put in or taken out."""
-        shard = F.expr(f"shiftright(conv(hex(substring(key, 1, 1)), 16, 10), {8 - (SHARDS - 1).bit_length()})").cast("int").alias("shard")
-        now = self.exact.where(F.col("n_docs") >= self.min_docs).select("key")
-        old = self.filters
-        if before is None or old is None:
-            change = now.select(shard, "key", F.lit(1).alias("sign"))
-            old = self.spark.createDataFrame([], "shard int, capacity long, slots binary")
-        else:
-            was = before.where(F.col("n_docs") >= self.min_docs).select("key")
-            change = now.join(was, "key", "left_anti").select(shard, "key", F.lit(1).alias("sign")).unionByName(was.join(now, "key", "left_anti").select(shard, "key", F.lit(-1).alias("sign")))
-        members = now.select(shard, "key")
-
-        def build(key, old_rows: pa.Table, changes: pa.Table) -> pa.Table:
-            hashed = _halves(changes.column("key").combine_chunks())
-            put, gone = (hashed[changes.column("sign").to_numpy() == s] for s in (1, -1))
-            capacity, slots = (old_rows.column("capacity")[0].as_py(), np.frombuffer(old_rows.column("slots")[0].as_py(), dtype=np.uint16).copy()) if old_rows.num_rows else (max(64, 2 * len(put)), None)
-            while True:
-                f = CuckooFilter(capacity, slots)
-                f.delete(gone) if slots is not None else None
-                if f.insert(put):
-                    break
-                if slots is not None:  # too full: tell the caller to build this shard anew
-                    return pa.table({"shard": [key[0].as_py()], "capacity": [-1], "slots": [b""]}, schema=schema)
-                capacity *= 2
-            return pa.table({"shard": [key[0].as_py()], "capacity": [capacity], "slots": [f.slots.tobytes()]}, schema=schema)
+    def _note(self, **more) -> str:
+        return json.dumps({"min_docs": self.min_docs, "min_chars": self.min_chars, "shards": self.shards, **more})
 
+    @staticmethod
+    def _counted(refs: DataFrame) -> DataFrame:
+        return refs.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+
+    def _write_filters(self, change: DataFrame, part: str, version: int) -> None:
+        """New filters of the shards in change (shard, h2, present); one without room is built anew from the exact table."""
         schema = pa.schema([("shard", pa.int32()), ("capacity", pa.int64()), ("slots", pa.binary())])
-        built = old.groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(lambda k, a, b: build(k, a, b) if b.num_rows else a.cast(schema), "shard int, capacity long, slots binary")
-        if before is None:
-            return built
-        built = stage(built)
-        full = built.where("capacity < 0").select("shard")
-        empty = self.spark.createDataFrame([], "shard int, capacity long, slots binary")
-        anew = empty.groupBy("shard").cogroup(members.join(full, "shard", "left_semi").withColumn("sign", F.lit(1)).groupBy("shard")).applyInArrow(lambda k, a, b: build(k, a, b), "shard int, capacity long, slots binary")
-        return built.where("capacity >= 0").unionByName(anew)
-
-    def droppable(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, key) of the references that lose their lines: frequent keys outside the last document that holds them."""
-        refs = references(docs, self.min_chars)
-        size = self.filters.agg(F.coalesce(F.sum(F.length("slots")), F.lit(0))).first()[0]
-        if size <= FILTER_BYTES:
-            sent = self.spark.sparkContext.broadcast({r.shard: r.slots for r in self.filters.collect()})
-            bits = 8 - (SHARDS - 1).bit_length()
-
-            def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                ready = {k: CuckooFilter(0, np.frombuffer(v, dtype=np.uint16)) for k, v in sent.value.items()}
-                for b in batches:
-                    if b.num_rows == 0:
-                        continue
-                    raw = np.frombuffer(b"".join(b.column("key").to_pylist()), dtype=np.uint8).reshape(-1, 16)
-                    shard, hashed = raw[:, 0] >> bits, raw.view(">u8")[:, 1].astype(np.uint64)
-                    hit = np.zeros(b.num_rows, dtype=bool)
-                    for s in np.unique(shard).tolist():
-                        if s in ready:
-                            at = np.flatnonzero(shard == s)
-                            hit[at] = ready[s].contains(hashed[at])
-                    yield b.filter(pa.array(hit))
-
-            refs = refs.mapInArrow(probe, refs.schema)
-        exact = self.exact.where(F.col("n_docs") >= self.min_docs).withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
-        refs = refs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        return refs.join(exact, ["key", "salt"]).where("doc_id < last_doc").select("doc_id", "key")
-
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """docs with n_lines, n_dropped and kept_text; docs needs doc_id and text."""
-        drops = self.droppable(docs).groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("key").alias("_drop_keys"))
-        joined = docs.join(drops, docs["doc_id"] == drops["_drop_id"], "left")
-        lines = lines_of(F.col("text"))
-        keep = F.filter(lines, lambda x: ~((F.length(line_key(x)) >= self.min_chars) & F.array_contains(F.col("_drop_keys"), digest(line_key(x)))))
-        kept = F.when(F.col("_drop_keys").isNull(), lines).otherwise(keep)
-        return (
-            joined.withColumn("_kept", kept)
-            .withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("_kept")).cast("long"), "kept_text": F.array_join("_kept", "\n")})
-            .drop("_kept", "_drop_id", "_drop_keys")
-        )
+        kind = "shard int, capacity long, slots binary"
+        at = f"{self.path}/{part}"
+        dated = lambda df: df.withColumn("version", F.lit(version).cast("long"))
+        none = self.spark.createDataFrame([], kind)
+        build = lambda k, a, b: _crossing(k, a, b, schema) if b.num_rows else none_
+        none_ = schema.empty_table()
+        if not self.parts:
+            stage(dated(none.groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(build, kind)), f"{at}/filters")
+            return
+        made = stage(self.filters().groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(build, kind), f"{at}/tried")
+        full = made.where("capacity < 0").select("shard")
+        every = self.spark.read.schema(EXACT).parquet(*(f"{self.path}/{p}/exact" for p in (*self.parts, part)))
+        latest = every.groupBy(*KEY).agg(F.max_by("n_docs", "version").alias("n_docs")).where(F.col("n_docs") >= self.min_docs)
+        members = latest.select(shard_of(self.shards), "h2", F.lit(True).alias("present")).join(full, "shard", "left_semi")
+        anew = none.groupBy("shard").cogroup(members.groupBy("shard")).applyInArrow(build, kind)
+        stage(dated(made.where("capacity >= 0").unionByName(anew)), f"{at}/filters")
+
+    def compact(self) -> LineIndex:
+        """All parts as one, so that reading costs what the state holds and not how often it changed; earlier parts stay as files."""
+        if len(self.parts) > 1:
+            version, part = self.version + 1, self.commits.fresh()
+            for kind, df in (("log", self.log().withColumn("present", F.lit(True))), ("exact", self.counts()), ("filters", self.filters())):
+                stage(df.withColumn("version", F.lit(version).cast("long")), f"{self.path}/{part}/{kind}")
+            self.commits.add(version, part, self._note(whole=True))
+            self.parts, self.version = [part], version
+        return self
+
+    def droppable(self, refs: DataFrame) -> DataFrame:
+        """(h1, h2, doc_id) of the references that lose their lines: frequent keys outside the last document that holds them."""
+        if not self.parts:
+            return refs.limit(0)
+        sharded = refs.withColumn("shard", shard_of(self.shards))
+        filters = self.filters().select("shard", "slots")
+        sizes = sharded.groupBy("shard").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))  # MAX_SHARDS rows at most
+        sizes = F.broadcast(sizes.join(filters.select("shard"), "shard"))
+        probes = sharded.join(sizes, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int").alias("part"), *KEY, "doc_id", F.lit(None).cast("binary").alias("slots"))
+        copies = filters.join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), *(F.lit(None).cast("long").alias(c) for c in (*KEY, "doc_id")), "slots")
+        dealt = copies.unionByName(probes).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("slots").isNull())
+        hits = dealt.mapInArrow(lean(_probe), "h1 long, h2 long, doc_id long")
+        exact = self.counts().where(F.col("n_docs") >= self.min_docs)
+        total = exact.agg(F.sum("n_docs")).first()[0] or 0
+        hot = max(HOT, total // HOT_KEYS)
+        copies = F.ceil(F.col("n_docs") / hot).cast("int")
+        many = F.broadcast(exact.where(F.col("n_docs") > hot).select(*KEY, copies.alias("copies")))  # at most HOT_KEYS rows
+        salted = hits.join(many, KEY, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+        rows = exact.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+        return salted.join(rows, [*KEY, "salt"]).where("doc_id < last_doc").select(*KEY, "doc_id")
+
+    def apply(self, docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+        """docs with n_lines, n_dropped and kept_text; docs needs doc_id and text. refs: their references, if they are at hand."""
+        refs = references(docs, self.min_chars) if refs is None else refs
+        pair = F.flatten(F.collect_list(F.array(*KEY)))  # no more than the document's lines
+        drops = self.droppable(refs).groupBy(F.col("doc_id").alias("_id")).agg(pair.alias("_drop"))
+        names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+        inner = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)), F.col("text").alias("_text"), F.col("doc_id").alias("_doc"))
+        joined = inner.join(drops, F.col("_doc") == F.col("_id"), "left").drop("_id", "_doc")
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in ("_text", "_drop"))
+        done = joined.mapInArrow(_drop(self.min_chars), f"{fields}, n_lines long, n_dropped long, kept_text string")
+        return done.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)), "n_lines", "n_dropped", "kept_text")
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text of every row of docs, over an index of docs themselves."""
     slim = docs.select("doc_id", "text")
-    return LineIndex(docs.sparkSession, min_docs=min_docs, min_chars=min_chars, keep_log=False).insert(slim).apply(slim)
+    index = LineIndex(docs.sparkSession, min_docs=min_docs, min_chars=min_chars).insert(slim)
+    return index.apply(slim, index.log()).select("doc_id", "n_lines", "n_dropped", "kept_text")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,23 @@ def test_ledger_scans_only_unseen(spark):
     assert found == {3: 1, 4: 1, None: 0} and ledger.findings().count() == 3
 
 
+def test_ledger_is_opened_again(spark, tmp_path):
+    """A fresh object on the same folder scans only unseen pairs, whatever a failed scan left there."""
+    path = str(tmp_path / "ledger")
+    docs = X.documents(spark, [(1, SECRETS[0], "en", "a"), (2, "-----BEGIN PRIVATE KEY-----", "en", "a")])
+    assert op2_secrets.BlobLedger(spark, path).scan(docs, rule_version=1).where("spans <> ''").count() == 1
+    broken = docs.select("doc_id", F.raise_error(F.lit("broken")).cast("string").alias("text"))
+    with pytest.raises(Exception, match="broken"):
+        op2_secrets.BlobLedger(spark, path).scan(broken)
+    more = docs.unionByName(X.documents(spark, [(3, "nothing", "en", "a")]))
+    ledger = op2_secrets.BlobLedger(spark, path)
+    assert ledger.scan(more, rule_version=1).count() == 3 and len(ledger.parts) == 2
+    assert {r.rule_version: r["count"] for r in ledger.findings().groupBy("rule_version").count().collect()} == {1: 3}
+    found = {r.doc_id: r.spans for r in op2_secrets.BlobLedger(spark, path).scan(more).collect()}
+    assert found == {1: "assign:0:19", 2: "pem:0:27", 3: ""}
+    assert {r.rule_version: r["count"] for r in op2_secrets.BlobLedger(spark, path).findings().groupBy("rule_version").count().collect()} == {1: 3, 2: 3}
+
+
 def test_licenses(spark, tmp_path):
     mit = TEXTS["MIT"]
     changed = "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + mit.upper().replace(",", " ,").replace('"', "“")
@@ -144,6 +161,10 @@ def test_line_dedup(spark, tmp_path):
     assert collections.Counter(tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()) == brute_lines(rows)
 
 
+def dropped(index, docs):
+    return collections.Counter((r.doc_id, r.n_dropped) for r in index.apply(docs).collect())
+
+
 def test_line_dedup_is_reversible(spark):
     rows = [r for r in X.texts() if r[0] != 1]
     first, second = rows[:-6], rows[-6:]
@@ -152,10 +173,52 @@ def test_line_dedup_is_reversible(spark):
     plain = op9_line_dedup.LineIndex(spark).insert(docs)
     moved = op9_line_dedup.LineIndex(spark).insert(docs).insert(more)
     both = docs.unionByName(more)
-    want = collections.Counter((r.doc_id, r.n_dropped) for r in op9_line_dedup.LineIndex(spark).insert(both).apply(both).collect())
-    assert collections.Counter((r.doc_id, r.n_dropped) for r in moved.apply(both).collect()) == want
-    back = moved.delete(more)
-    assert collections.Counter((r.doc_id, r.n_dropped) for r in back.apply(docs).collect()) == collections.Counter((r.doc_id, r.n_dropped) for r in plain.apply(docs).collect())
+    assert dropped(moved, both) == dropped(op9_line_dedup.LineIndex(spark).insert(both), both)
+    assert dropped(moved.delete(more), docs) == dropped(plain, docs)
+
+
+def test_line_changes_are_idempotent_and_kept_in_the_folder(spark, tmp_path):
+    """Deletes before inserts, repeated inserts, an index opened again, a change that failed, and compaction."""
+    line = "one line that is shared and that has over forty characters"
+    docs = spark.createDataFrame([(i, f"{line}\nown {i}") for i in range(1, 6)], "doc_id long, text string")
+    one = lambda i: docs.where(F.col("doc_id") == i)
+    again = lambda: op9_line_dedup.LineIndex(spark, str(tmp_path / "index"), min_docs=9, shards=4)
+    index = op9_line_dedup.LineIndex(spark, str(tmp_path / "index"), shards=4).delete(one(5)).insert(docs.where("doc_id < 5")).delete(one(5))
+    assert sum(n for _, n in dropped(index, docs)) == 0
+    index = again().insert(one(5)).insert(one(5))
+    lost = collections.Counter({(i, 1): 1 for i in range(1, 5)} | {(5, 0): 1})
+    assert index.min_docs == 5 and dropped(index, docs) == lost and [tuple(r)[2:] for r in index.counts().collect()] == [(5, 5)]
+    (tmp_path / "index" / "unfinished" / "log").mkdir(parents=True)
+    index = again().delete(one(5))
+    assert sum(n for (_, n) in dropped(index, docs)) == 0 and [tuple(r)[2:] for r in index.counts().collect()] == [(4, 4)]
+    index = again().insert(one(5)).compact()
+    assert len(again().parts) == 1 and dropped(again(), docs) == lost and again().log().count() == 5
+    assert sum(n for (_, n) in dropped(again().delete(one(1)), docs)) == 0
+
+
+def test_filters_follow_the_exact_table(spark):
+    """Many keys that cross the threshold in both directions, more than a first filter holds."""
+    line = lambda k: f"line number {k} of a text, made longer than forty characters"
+    index = op9_line_dedup.LineIndex(spark, min_docs=2, shards=2)
+    make = lambda i, lo, hi: spark.createDataFrame([(i, "\n".join(line(k) for k in range(lo, hi)))], "doc_id long, text string")
+    index.insert(make(1, 0, 900)).insert(make(2, 0, 20)).insert(make(3, 10, 900)).delete(make(2, 0, 5))
+    got = {r.doc_id: r.n_dropped for r in index.apply(make(1, 0, 900).unionByName(make(2, 5, 20)).unionByName(make(3, 10, 900))).collect()}
+    assert got == {1: 895, 2: 10, 3: 0}
+
+
+def test_lines_of_one_very_long_document(spark):
+    n = 300_000
+    long_ = "\n".join(f"row {k:07d} of a document with very many distinct lines" for k in range(n))
+    rows = [(i, long_ + f"\n{i}") for i in range(2)] + [(7, None), (None, long_[:500])]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_lines int, h1 string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in op9_line_dedup.line_dedup(docs, min_docs=2).collect()}
+    assert got == {0: (n + 1, n), 1: (n + 1, 0), 7: (1, 0), None: (long_[:500].count("\n") + 1, 0)}
+
+
+def test_keys_agree_in_python(spark):
+    lines = ["  ABC é ÄÖ " + "x" * 40 + "\t", "é" * 39, "É" * 40, "", "a" * 39 + "日"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    assert {r.doc_id: (r.h1, r.h2) for r in op9_line_dedup.references(got).collect()} == {i: k for i, t in enumerate(lines) if (k := op9_line_dedup.python_key(t.encode(), 40))}
 
 
 def test_cuckoo_filter():
