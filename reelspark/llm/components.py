@@ -2,7 +2,8 @@
 
 Components: each partition of edges is first contracted by a local union-find to a star forest, then large-star
 and small-star steps alternate until nothing changes. No step gathers a node's neighbours in one place: minima are
-partial aggregates, and the joins back are equi-joins that AQE may split where a node is hot. Every round is staged.
+partial aggregates, and the joins back are equi-joins that AQE may split where a node is hot. Every round is staged,
+and the one before it is deleted then.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, scratch, stage
 
 EDGE = "u long, v long"
 #: Members of a bucket that one tile holds; a task compares at most two tiles at a time.
@@ -52,7 +53,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     u, v = edges.columns
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v")
-    e = stage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_contract, EDGE).distinct())
+    path = scratch(edges.sparkSession)
+    e = stage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_contract, EDGE).distinct(), path)
     mark = None
     while True:
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v") % 1000003)).first()
@@ -64,10 +66,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lower, "u")
-        e = stage(joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        path, before = scratch(edges.sparkSession), path
+        e = stage(joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), path)
+        discard(edges.sparkSession, before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def settled(rows: DataFrame, key: str, check: str) -> DataFrame:
+    """rows without check, with keys that stand for one (key, check) each: 64 bits, told apart by 64 more.
+
+    Two values of check under one key are hardly ever met; such keys then become key xor check.
+    """
+    twins = rows.groupBy(key).agg(F.min(check).alias("_lo"), F.max(check).alias("_hi")).where("_lo <> _hi").select(F.col(key).alias("_twin"))
+    if twins.limit(1).count() == 0:
+        return rows.drop(check)
+    named = rows.join(twins, F.col(key) == F.col("_twin"), "left")
+    return named.withColumn(key, F.when(F.col("_twin").isNotNull(), F.col(key).bitwiseXOR(F.col(check))).otherwise(F.col(key))).drop("_twin", check)
+
+
 def tiled(members: DataFrame, keys: list[str], count: str, member: str, tile: int = TILE) -> DataFrame:
     """members dealt to pairs of tiles: every two members of a bucket meet in exactly one (keys, tile_i, tile_j).
 

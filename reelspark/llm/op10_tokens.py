@@ -5,11 +5,14 @@ lengths by package-merge; the codes are canonical, so a table of lengths is the
 dealt out by ranges of doc_id, sorted, and packed into files of about FILE_IDS ids.
 
 A file is one binary value, so it can live in any store that Spark writes (here a Parquet folder, one file per
-row). Its layout, little-endian: magic "HUF1"; uint32 documents, uint64 ids, uint64 ids of the partition before
+row). Its layout, little-endian: magic "HUF2"; uint32 documents, uint32 how many of them, the first ones, have no doc_id; uint64 ids, uint64 ids of the partition before
 this file, uint32 ids per block, uint32 blocks; int64 doc_id and uint32 length of each document; uint64 bit offset
 of each block; the bits, most significant first. Blocks decode independently from their bit-offset checkpoints;
 the decoder steps through all blocks of a file at once, one table lookup per id.
 
+Limits: a document lies in one file, and Spark's binary values end at 2 GB, so one document may have some 10^9 ids; a
+vocabulary may have 2^24 ids, as codes have at most 25 bits, and no fewer than it takes to tell its ids apart.
+
 Defined results: a null or empty text is the end id alone; null doc_ids come first, ties of doc_id are ordered by
 their ids; repeated rows are written each; an empty table gives no documents; other columns are ignored.
 """
@@ -34,9 +37,7 @@ from .common import lean, scratch, stage, table
 FILE_IDS, BLOCK_IDS, MAX_BITS = 1 << 19, 1 << 9, 18
 #: Bytes of text that are encoded together.
 PIECE_BYTES = 8 << 20
-#: Stands for a null doc_id in a file.
-NO_ID = -(1 << 63)
-HEAD = "<4sIQQII"
+MAGIC, HEAD = b"HUF2", "<4sIIQQII"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -176,8 +177,9 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     n = len(counts)
     if n <= 1:
         return np.ones(n, dtype=np.int64)
-    if n > 1 << limit:
-        raise ValueError(f"{n} symbols need more than {limit} bits")
+    if n > 1 << 24:
+        raise ValueError(f"{n} symbols need codes of more than 25 bits")
+    limit = max(limit, (n - 1).bit_length())
     order = np.argsort(counts, kind="stable")
     leaves = counts[order].astype(np.int64)
     levels, merged = [], leaves
@@ -297,14 +299,14 @@ def _write(symbols: np.ndarray, lengths: np.ndarray, kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, size = Code(symbols, lengths).encoder()
         part, before, number = TaskContext.get().partitionId(), 0, 0
-        docs: list[int] = []
+        docs: list[int | None] = []
         held: list[np.ndarray] = []
 
         def file() -> pa.RecordBatch:
             nonlocal before, number
             ids = np.concatenate(held).astype(np.int64)
             bits, offsets = pack(ids, code, size)
-            body = struct.pack(HEAD, b"HUF1", len(docs), len(ids), before, BLOCK_IDS, len(offsets)) + np.array(docs, "<i8").tobytes() + np.array([len(h) for h in held], "<u4").tobytes() + offsets.astype("<u8").tobytes() + bits
+            body = struct.pack(HEAD, MAGIC, len(docs), docs.count(None), len(ids), before, BLOCK_IDS, len(offsets)) + np.array([d or 0 for d in docs], "<i8").tobytes() + np.array([len(h) for h in held], "<u4").tobytes() + offsets.astype("<u8").tobytes() + bits
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "body": pa.array([body], pa.binary())})
             before, number = before + len(ids), number + 1
             docs.clear()
@@ -314,7 +316,7 @@ def _write(symbols: np.ndarray, lengths: np.ndarray, kind: str):
         waiting = 0
         for b in batches:
             for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                docs.append(NO_ID if doc is None else doc)
+                docs.append(doc)
                 held.append(np.frombuffer(raw.as_py(), dtype=kind))
                 waiting += len(held[-1])
                 if waiting >= FILE_IDS:
@@ -347,8 +349,8 @@ def _read(symbols: np.ndarray, lengths: np.ndarray, base: dict[int, int], digest
         for b in batches:
             for part, body in zip(b.column("part").to_pylist(), b.column("body"), strict=True):
                 raw = body.as_buffer()
-                magic, n_docs, n_ids, before, block, blocks = struct.unpack_from(HEAD, raw)
-                if magic != b"HUF1":
+                magic, n_docs, n_null, n_ids, before, block, blocks = struct.unpack_from(HEAD, raw)
+                if magic != MAGIC:
                     raise ValueError("not a token file")
                 at = struct.calcsize(HEAD)
                 docs = np.frombuffer(raw, "<i8", n_docs, at)
@@ -359,7 +361,7 @@ def _read(symbols: np.ndarray, lengths: np.ndarray, base: dict[int, int], digest
                 for lo in range(0, n_docs, 2000):
                     hi = min(lo + 2000, n_docs)
                     start = (base[part] + before + ends - sizes)[lo:hi]
-                    rows = {"doc_id": pa.array(docs[lo:hi], mask=docs[lo:hi] == NO_ID), "start": pa.array(start), "n_tokens": pa.array(sizes[lo:hi])}
+                    rows = {"doc_id": pa.array(docs[lo:hi], mask=np.arange(lo, hi) < n_null), "start": pa.array(start), "n_tokens": pa.array(sizes[lo:hi])}
                     cut = [ids[e - n : e] for e, n in zip(ends[lo:hi].tolist(), sizes[lo:hi].tolist(), strict=True)]
                     rows["ids_crc32" if digest else "ids"] = pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()) if digest else pa.array([c.astype(np.int64) for c in cut], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(rows)

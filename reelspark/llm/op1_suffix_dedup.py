@@ -17,7 +17,7 @@ A gram that very many runs share (HOT) is not one range's work: its runs are cut
 ends, and a band goes to the range of the bytes that all its windows share. What is common then folds into few
 entries, and what differs goes apart.
 
-Equal strings are compared as strings throughout; hashes only choose anchors and, 64 bits of them, ids of rows.
+Equal strings are compared as strings throughout; hashes only choose anchors and, 128 bits of them, ids of rows.
 
 Defined results: a null text is empty; texts shorter than the window keep all bytes; a null doc_id keeps its row;
 repeated rows are texts of their own, and so lose whatever is as long as the window; an empty table gives an empty
@@ -121,7 +121,7 @@ def _profile(window: int):
             lists = {name: pa.array([m[k] for m in merged], pa.list_(pa.int64())) for k, name in enumerate(("place", "gram"))}
             return pa.RecordBatch.from_pydict(
                 {
-                    "rid": pa.array([r for r, _, _ in rows], pa.int64()),
+                    "rid": pa.array([r for r, _, _ in rows], pa.binary()),
                     "doc_id": pa.array([d for _, d, _ in rows], pa.int64()),
                     "n_bytes": pa.array([len(b) for _, _, b in rows], pa.int64()),
                     "sha": [hashlib.sha256(b).hexdigest() for _, _, b in rows],
@@ -167,7 +167,7 @@ def front_code(entries: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
         out += suffix[lcp:]
         out += context
         if not many:
-            out += rid.to_bytes(8, "little", signed=True)
+            out += rid.to_bytes(16, "little")
             put_number(out, first)
         before = suffix
     return zstandard.ZstdCompressor(level=1).compress(bytes(out))
@@ -194,8 +194,8 @@ def front_decode(block: bytes) -> Iterator[tuple[bytes, int, bytes, int, int, in
         at += size
         rid = first = 0
         if not many:
-            rid = int.from_bytes(raw[at : at + 8], "little", signed=True)
-            at += 8
+            rid = int.from_bytes(raw[at : at + 16], "little")
+            at += 16
             shift = 0
             while (x := raw[at]) > 127:
                 first |= (x & 127) << shift
@@ -281,7 +281,7 @@ def _send(window: int, ranges: int):
             rid, lo, hi = [], [], []
 
             def known(suffix: bytes, context: bytes, place: tuple[int, int]) -> None:
-                rid.append(place[0])
+                rid.append(place[0].to_bytes(16, "little"))
                 lo.append(place[1])
                 hi.append(place[1] + len(context) + len(suffix))
 
@@ -328,7 +328,7 @@ def _send(window: int, ranges: int):
                     if key not in held:
                         size += (300 + len(key[0]) + len(key[1])) * (8 if hot else 1)
                         held[key] = hot, []
-                    held[key][1].append((r, first))
+                    held[key][1].append((int.from_bytes(r, "little"), first))
                     size += 100
                 if size > SORT_BYTES:
                     yield from flush()
@@ -339,7 +339,7 @@ def _send(window: int, ranges: int):
     return lean(run)
 
 
-SENT = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("rid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("text", pa.binary())])
+SENT = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("rid", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("text", pa.binary())])
 
 
 def row(**columns: list) -> pa.RecordBatch:
@@ -378,9 +378,9 @@ def repeated_windows(entries: list[tuple], window: int = WINDOW) -> tuple[list[i
     edge = np.diff(np.concatenate([np.zeros((n, 1), np.int8), hit.astype(np.int8)], axis=1), axis=1)
     who, start = np.nonzero(edge == 1)
     _, stop = np.nonzero(edge == -1)  # offsets start .. stop - 1, of the same rows in the same order
-    rid = np.array([e[4] for e in entries], dtype=np.int64)[who]
+    rid = [entries[w][4] for w in who.tolist()]
     anchor = np.array([e[5] + len(e[2]) for e in entries])[who]
-    return rid.tolist(), (anchor - stop + 1).tolist(), (anchor - start + window).tolist()
+    return rid, (anchor - stop + 1).tolist(), (anchor - start + window).tolist()
 
 
 def _merge(window: int):
@@ -396,7 +396,7 @@ def _merge(window: int):
                 yield row_of(*repeated_windows(entries, window))
 
         def row_of(rid: list[int], lo: list[int], hi: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["rid", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array([r.to_bytes(16, "little") for r in rid], pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["rid", "lo", "hi"])
 
         part, blocks = None, []
         for b in batches:
@@ -431,7 +431,7 @@ def _cut(text: Callable[[bytes], bytes]):
                 kept.append(body[max(end, 0) :])
                 for name, value in zip(out, (rid, removed, n, b"".join(kept)), strict=True):
                     out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out["rid"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary())], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["rid"], pa.binary()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary())], list(out))
 
     return lean(run)
 
@@ -444,6 +444,11 @@ def body_of(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
+def row_id(doc_id: Column, text: Column) -> Column:
+    """16 bytes for a row's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit("|"), F.coalesce(text, F.lit("")))))
+
+
 class SuffixDedup:
     """Repeated byte strings of docs (doc_id, text) and what is left without them."""
 
@@ -451,9 +456,9 @@ class SuffixDedup:
         if not 2 * GRAM <= window <= GRAM + 255:
             raise ValueError("the window must hold two grams, and its offsets must fit in a byte")
         self.window, self.spark = window, docs.sparkSession
-        self.rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), body_of(F.col("text")).alias("body"))
+        self.rows = docs.select(row_id(F.col("doc_id"), F.col("text")).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), body_of(F.col("text")).alias("body"))
         lists = "place array<long>, gram array<long>"  # a run is its first window << 16, and the anchor and last window behind it in 8 bits each
-        self.profile = stage(self.rows.mapInArrow(_profile(window), f"rid long, doc_id long, n_bytes long, sha string, {lists}"))
+        self.profile = stage(self.rows.mapInArrow(_profile(window), f"rid binary, doc_id long, n_bytes long, sha string, {lists}"))
 
     def intervals(self) -> tuple[DataFrame, DataFrame]:
         """((rid, lo, hi) under repeated windows, packed texts of the rows that may have some)."""
@@ -462,15 +467,15 @@ class SuffixDedup:
         again = stage(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.when(F.col("n") > HOT, HOT_FLAG).otherwise(0).alias("flag")))
         kept = runs.join(again, "gram").groupBy("rid").agg(F.collect_set(F.col("place") + F.col("flag")).alias("runs"))
         ranges = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        sent = stage(self.rows.join(kept, "rid").select("rid", "body", "runs").mapInArrow(_send(self.window, ranges), "part int, block binary, rid long, lo int, hi int, text binary"))
-        merged = sent.where("part IS NOT NULL").select("part", "block").repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_merge(self.window), "rid long, lo int, hi int")
+        sent = stage(self.rows.join(kept, "rid").select("rid", "body", "runs").mapInArrow(_send(self.window, ranges), "part int, block binary, rid binary, lo int, hi int, text binary"))
+        merged = sent.where("part IS NOT NULL").select("part", "block").repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_merge(self.window), "rid binary, lo int, hi int")
         return merged.unionByName(sent.where("lo IS NOT NULL").select("rid", "lo", "hi")), sent.where("text IS NOT NULL").select("rid", "text")
 
     def removed(self) -> DataFrame:
         """rid, n_removed, n_spans, kept (bytes) of the rows that lose something."""
         found, texts = self.intervals()
         spans = found.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-        return texts.dropDuplicates(["rid"]).join(spans, "rid").select("rid", "text", "spans").mapInArrow(_cut(_unpack), "rid long, n_removed long, n_spans long, kept binary")
+        return texts.dropDuplicates(["rid"]).join(spans, "rid").select("rid", "text", "spans").mapInArrow(_cut(_unpack), "rid binary, n_removed long, n_spans long, kept binary")
 
     def digests(self) -> DataFrame:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""

@@ -7,7 +7,8 @@ emitted: a tile gives each vector its number of links and the least member of it
 The number of bits follows the number of vectors, the number of tables follows the bits: the chance to miss a
 link at exactly the threshold is below MISS, and less above it.
 
-Equal vectors are one class with a multiplicity, so a vector that is copied a million times is compared once.
+Equal vectors, told by 128 bits, are one class with a multiplicity, so a vector that is copied a million times is
+compared once.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
 n_links 0, a component of their own, kept; vectors of different lengths are never linked; a null vec_id links with
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, stage, table, whole_groups
-from .components import connected_components, local_roots, tiled
+from .common import lean, row_key, stage, table, whole_groups
+from .components import connected_components, local_roots, settled, tiled
 
 THRESHOLD, MISS = 0.95, 1e-4
 #: Vectors that a bucket holds on average, in data without clusters.
@@ -122,8 +123,9 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     e = F.col("embedding")
     sound = e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
-    cid = F.when(F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull(), F.xxhash64("embedding"))
-    rows = rows.withColumn("cid", cid)
+    fine = F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull()
+    first, second = row_key(F.col("embedding"))
+    rows = settled(rows.withColumns({"cid": F.when(fine, first), "check": F.when(fine, second)}), "cid", "check")
     links, comp = embedding_links(rows.where("cid IS NOT NULL"), threshold)
     ids = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     ids = stage(ids.join(links, "cid", "left").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))

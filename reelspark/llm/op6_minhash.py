@@ -1,6 +1,6 @@
 """MinHash near-dedup with HyperMinHash registers.
 
-A document's set is its distinct word shingles, as 64-bit hashes. The leading bits of a hash choose one of 128
+A document's set is its distinct word shingles, as 64-bit hashes; that sets are equal is told by 128 bits. The leading bits of a hash choose one of 128
 buckets; of the least hash in a bucket the register keeps the number of leading zeros and the 10 bits that follow,
 16 bits in all. Empty buckets borrow from others by a fixed probing order, so short texts have full sketches too.
 Bands of four registers are the candidate keys. The registers of a candidate pair give a Jaccard estimate,
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lean, mix64, slices, stage, table, whole_groups, word_list
-from .components import connected_components, local_roots, tiled
+from .components import connected_components, local_roots, settled, tiled
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
@@ -100,6 +100,12 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def set_keys(members: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    raw = xxhash.xxh3_128_digest(members.tobytes())
+    return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
+
+
 def _profile(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
@@ -107,11 +113,13 @@ def _profile(words: int):
             sets = [shingle_set(t.as_py(), words, memo) for t in b.column("text")]
             some = [s for s in sets if len(s)]
             regs = iter(registers(some)) if some else iter(())
+            keys = [set_keys(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": b.column("doc_id"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "set_key": pa.array([int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) if len(s) else None for s in sets], pa.int64()),
+                    "set_key": pa.array([k for k, _ in keys], pa.int64()),
+                    "set_check": pa.array([c for _, c in keys], pa.int64()),
                     "sketch": pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary()),
                 }
             )
@@ -235,7 +243,7 @@ def _sets(words: int):
         memo = WordHash()
         for b in slices(batches):
             made = [(k, shingle_set(t.as_py(), words, memo)) for k, t in zip(b.column("want").to_pylist(), b.column("text"), strict=True)]
-            made = [(k, s) for k, s in made if int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) == k]
+            made = [(k, s) for k, s in made if k in ((own := set_keys(s))[0], own[0] ^ own[1])]
             yield pa.RecordBatch.from_pydict({"set_key": pa.array([k for k, _ in made], pa.int64()), "members": pa.array([s.tobytes() for _, s in made], pa.binary())})
 
     return lean(run)
@@ -259,7 +267,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, shingle_words: int = 5, percent: int = 80):
         self.docs, self.words, self.percent, self.threshold = docs.select("doc_id", "text"), shingle_words, percent, percent / 100
-        self.profile = stage(self.docs.mapInArrow(_profile(shingle_words), "doc_id long, n_shingles long, set_key long, sketch binary"))
+        self.profile = settled(stage(self.docs.mapInArrow(_profile(shingle_words), "doc_id long, n_shingles long, set_key long, set_check long, sketch binary")), "set_key", "set_check")
         some = self.profile.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
         self.classes = stage(some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
 
@@ -277,7 +285,8 @@ class NearDuplicates:
             .join(comp.withColumnRenamed("node", "set_key"), "set_key", "left")
             .withColumn("component", F.coalesce("component", "set_key"))
         )
-        mixed = open_.groupBy("band", "key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band", "key")
+        # staged like the buckets: members of a hot one are dealt anew
+        mixed = stage(open_.groupBy("band", "key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band", "key"))
         open_ = open_.join(mixed, ["band", "key"]).select("band", "key", "set_key", "component", "n")
         sketches = self.classes.select("set_key", "sketch", "n_shingles")
         near = stage(tiled(open_.join(sketches, "set_key"), ["band", "key"], "n", "set_key").mapInArrow(_cross(self.threshold), "a long, b long").distinct())

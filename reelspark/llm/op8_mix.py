@@ -5,9 +5,13 @@ a remainder takes every document r times and fits the remainder: first the same
 for what rounding leaves, a bounded knapsack over the lengths, solved by dynamic programming on bit sets. How
 many documents of each length are taken is then exact; which ones is settled by a seeded hash.
 
+Memory: a knapsack keeps one number per reachable sum, at most FINE of them, and one source's lengths with their
+counts are one group, so a source costs what its distinct lengths cost, however many documents it has.
+
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, last
-in order; a null doc_id is an id like any other; repeated rows are documents of their own; an empty table gives
-an empty result; a source without words has target 0. Other columns are ignored by `mix_plan`.
+in order; a null doc_id is an id like any other; repeated rows are documents of their own, each with its own place in
+the draw; an empty table gives an empty result; a source without words has target 0. Other columns are ignored by
+`mix_plan` and kept by `mix_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from .common import WORD, stage, table
 PART = 512
 #: Bounds the bit sets of the knapsack (bits); a greedy fill leaves it at most half of that.
 KNAPSACK = 1 << 16
+#: Sums of a knapsack that starts from nothing; beyond that many words lengths are counted in larger units.
+FINE = 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -56,8 +62,9 @@ def knapsack(lengths: np.ndarray, rooms: list[np.ndarray], budget: int) -> tuple
     add = np.zeros(len(lengths), dtype=np.int64)
     if budget <= 0 or not len(lengths):
         return add, -budget
-    space = min(max(budget, KNAPSACK), budget + int(lengths.max()))
+    space = min(max(budget + budget // 64, KNAPSACK), budget + int(lengths.max()))
     mask, reach, steps = (1 << (space + 1)) - 1, 1, []
+    made = np.full(space + 1, -1, dtype=np.int32)  # the step that reached a sum first, from sums of earlier steps
     for room in rooms:
         for i in np.argsort(lengths, kind="stable").tolist():
             length = int(lengths[i])
@@ -67,7 +74,9 @@ def knapsack(lengths: np.ndarray, rooms: list[np.ndarray], budget: int) -> tuple
                 before = reach
                 reach |= (reach << (part * length)) & mask
                 if reach != before:
-                    steps.append((i, part, before))
+                    fresh = np.frombuffer((reach ^ before).to_bytes(space // 8 + 1, "little"), dtype=np.uint8)
+                    made[np.flatnonzero(np.unpackbits(fresh, bitorder="little"))] = len(steps)
+                    steps.append((i, part))
                 spare -= part
                 size *= 2
     best = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
@@ -75,19 +84,27 @@ def knapsack(lengths: np.ndarray, rooms: list[np.ndarray], budget: int) -> tuple
     if above and (over := (above & -above).bit_length()) < budget - best:
         best = budget + over
     gap = best - budget
-    for i, part, before in reversed(steps):
-        if not before >> best & 1:
-            add[i] += part
-            best -= part * int(lengths[i])
+    while best:
+        i, part = steps[made[best]]
+        add[i] += part
+        best -= part * int(lengths[i])
     return add, gap
 
 
+def fitted(lengths: np.ndarray, rooms: list[np.ndarray], budget: int) -> tuple[np.ndarray, int]:
+    """knapsack() with lengths in units of so many words that there are FINE sums at most; the gap is in words."""
+    unit = max(1, -(-budget // FINE))
+    add, _ = knapsack(np.maximum(1, (lengths + unit // 2) // unit), rooms, budget // unit)
+    return add, int((add * lengths).sum()) - budget
+
+
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = 1) -> np.ndarray:
     """How many documents of each length to take so that the words come nearest to budget, which is at most all words.
 
     Every length gives the same share first. Then the rounding loss is filled, largest lengths first, and the rest
     fitted by the knapsack, with second and further copies, up to most of a document, only where first ones can't
-    hit the budget. Where a few long documents leave a gap, the knapsack starts from nothing instead, if it can.
+    hit the budget. Where a few long documents leave a gap of over a hundredth, the knapsack starts from nothing instead,
+    and the nearer of the two is taken.
     lengths are distinct and positive.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
@@ -103,24 +120,28 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int =
         if more > 0:
             take[i] += more
             left -= more * int(lengths[i])
-    add, gap = knapsack(lengths, [counts - take, counts * (most - 1)], left)
-    if abs(gap) > budget // 100 and budget <= KNAPSACK:
-        anew, other = knapsack(lengths, [counts, counts * (most - 1)], budget)
+    add, gap = fitted(lengths, [counts - take, counts * (most - 1)], left)
+    if abs(gap) > budget // 100:
+        anew, other = fitted(lengths, [counts, counts * (most - 1)], budget)
         if abs(other) < abs(gap):
             return anew
     return take + add
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, share: float = 1.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Per document: doc_id, size, source, source_size, target, copies, taken.
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, share: float = 1.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, size, source, source_size, target, copies, taken, and the columns of carry as _0, _1, ...
 
     Sources by code point, null last, get the weights in turn, repeating. One row per source comes to the driver,
     as the mix is configured per source; everything per document or per length stays distributed.
     """
     spark = docs.sparkSession
-    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    sized = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")).withColumn("skey", key))
-    sums = sorted((r.skey, r.words) for r in sized.groupBy("skey").agg(F.sum("size").alias("words")).collect())
+    key = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))
+    draw = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
+    kept = (F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry))
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("skey"), draw.alias("draw"), *kept)
+    slim = stage(named.select("doc_id", "source", "size", "skey", "draw"))
+    sized = named if carry else slim
+    sums = sorted((r.skey, r.words) for r in slim.groupBy("skey").agg(F.sum("size").alias("words")).collect())
     # Python orders str by code point, so "0..." sources come first and null ("1") last
     total = int(sum(w for _, w in sums) * Fraction(str(share)))
     targets = fill([cap * w for _, w in sums], [weights[i % len(weights)] for i in range(len(sums))], total)
@@ -136,13 +157,12 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
         n = pdf["n"].to_numpy()
         return pdf.assign(extra=extra % n, times=times + extra // n, source_size=words, target=float(target))
 
-    lengths = stage(sized.groupBy("skey", "size").agg(F.count("*").alias("n")).groupBy("skey").applyInPandas(fit, "skey string, size long, n long, extra long, times long, source_size long, target double"))
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    parted = sized.join(lengths, ["skey", "size"]).withColumn("draw", draw).withColumn("part", F.pmod(F.xxhash64("draw"), F.greatest(F.lit(1), F.ceil(F.col("n") / PART))).cast("long"))
+    lengths = stage(slim.groupBy("skey", "size").agg(F.count("*").alias("n")).groupBy("skey").applyInPandas(fit, "skey string, size long, n long, extra long, times long, source_size long, target double"))
+    parted = sized.join(lengths, ["skey", "size"]).withColumn("part", F.pmod(F.xxhash64("draw"), F.greatest(F.lit(1), F.ceil(F.col("n") / PART))).cast("long"))
     hot = lengths.where(F.col("n") > PART).select("skey", "size", "extra")
     filled = (
-        sized.join(lengths.where(F.col("n") > PART), ["skey", "size"])
-        .groupBy("skey", "size", F.pmod(F.xxhash64(draw), F.greatest(F.lit(1), F.ceil(F.col("n") / PART))).cast("long").alias("part"))
+        slim.join(lengths.where(F.col("n") > PART), ["skey", "size"])
+        .groupBy("skey", "size", F.pmod(F.xxhash64("draw"), F.greatest(F.lit(1), F.ceil(F.col("n") / PART))).cast("long").alias("part"))
         .agg(F.count("*").alias("here"))
         .join(hot, ["skey", "size"])
         .withColumn("before", F.coalesce(F.sum("here").over(Window.partitionBy("skey", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -151,17 +171,17 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
     ranked = parted.join(filled, ["skey", "size", "part"], "left").withColumn("rank", F.row_number().over(Window.partitionBy("skey", "size", "part").orderBy("draw", "doc_id")))
     copies = F.col("times") + F.when(F.col("rank") <= F.coalesce("quota", "extra"), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long")
-    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *(f"_{i}" for i in range(len(carry)))).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every document as often as the plan takes it, with the columns of docs.
+    """The mixed corpus: every row as often as the plan takes that row, with the columns of docs.
 
-    Needs distinct doc_ids that are not null to follow a document through the plan; other rows are dropped from
-    repeats by joining on the id once per distinct id.
+    The rows themselves go through the plan, so repeated, equal and null ids need no care.
     """
-    plan = mix_plan(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["_mix_id"])).withColumn("_mix_copy", F.explode(F.expr("sequence(1, _mix_copies)"))).select(*docs.columns)
+    plan = mix_plan(docs, carry=tuple(docs.columns), **options).where("copies > 0")
+    again = plan.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return again.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 import collections
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from reelspark.llm import components, op3_embeddings, op4_decontaminate, op5_language, op6_minhash
+from reelspark.llm import components, op3_embeddings, op4_decontaminate, op5_language, op6_minhash, op8_mix
 
 from . import fixtures as X
 
@@ -277,6 +280,54 @@ def test_forward_backward_is_exact():
         assert np.allclose(post[s, :n], want / total)
 
 
+def test_scores_against_a_plain_chain(spark, tmp_path):
+    """The query's labels and scores from the model's weights, by a loop over each whole text's words."""
+    lines = {"en": "the quick brown fox jumps over that lazy dog", "de": "der schnelle braune fuchs springt über den faulen hund"}
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice(lines[lang].split()) for _ in range(r.randint(1, 60))), lang, "a") for i in range(120) for lang in [("en", "de")[i % 2]]]
+    rows += [(500, None, "en", "a"), (501, "... 12", "de", "a"), (502, "e\u0301t\u0301 \u0301 fox", "en", "a"), (503, lines["en"] + " 1 " + lines["de"], None, "a")]
+    docs = X.documents(spark, rows)
+    model = op5_language.language_model(docs)
+    got = {x.doc_id: x for x in op5_language.op5_language_id(spark, X.write(spark, tmp_path, rows)).collect()}
+    assert op5_language.words_of(pa.array(["e\u0301t\u0301 \u0301 fox"])).to_pylist() == [["e\u0301t\u0301", "", "fox"]]
+    for i, text, *_ in rows:
+        ws = [w for w in op5_language.words_of(pa.array([text], pa.string())).to_pylist()[0] if w]
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not ws:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        e, move = np.exp(model.emissions(ws)), np.exp(model.moves)
+        alpha, beta = [e[0] * np.exp(model.begin)], [np.ones(2)]
+        for x in e[1:]:
+            alpha.append((alpha[-1] @ move) * x)
+        for x in e[:0:-1]:
+            beta.append(move @ (x * beta[-1]))
+        post = np.array(alpha) * np.array(beta[::-1])
+        mean = (post / post.sum(1, keepdims=True)).mean(0)
+        assert got[i].lang_pred == model.labels[mean.argmax()] and abs(got[i].score - mean.max()) < 1e-6
+
+
+def test_long_texts_are_one_chain():
+    rng = np.random.default_rng(0)
+    model = op5_language.Model(["a", "b", "c"], set())
+    model.moves = 4 * np.eye(3)
+    tagger = op5_language.Tagger(model)
+    tagger.rows = np.concatenate([np.zeros((1, 3)), rng.standard_normal((40, 3))])
+    tagger.known = np.zeros(41)
+    index, sizes = rng.integers(1, 41, 700), np.array([500, 0, 200])
+    post = tagger.marginals(index, sizes)
+    for lo, hi in ((0, 500), (500, 700)):
+        whole, _ = model.posteriors(tagger.rows[index[lo:hi]][None], np.array([hi - lo]))
+        assert np.abs(post[lo:hi] - whole[0]).max() < 1e-9
+
+
+def test_keys_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 6, "c"), (2, 9, "d"), (None, None, "e")], "k long, c long, v string")
+    got = {r.v: r.k for r in components.settled(rows, "k", "c").collect()}
+    assert got == {"a": 1 ^ 5, "b": 1 ^ 5, "c": 1 ^ 6, "d": 2, "e": None}
+    assert components.settled(rows.where("c <> 6"), "k", "c").columns == ["k", "v"]
+
+
 def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -294,6 +345,49 @@ def test_pipeline(spark):
     assert len(last) == kept.count() and [r.start for r in last] == np.concatenate([[0], np.cumsum([r.n_tokens for r in last])[:-1]]).tolist()
 
 
+def pipeline_rows():
+    r = random.Random(6)
+    lines = {"en": X.prose(400, 41, 90).split(), "de": "der schnelle braune fuchs springt über den faulen hund und läuft durch große wälder".split()}
+    rows = [(i, " ".join(r.choice(lines[lang]) for _ in range(r.randint(8, 80))), lang, "abc"[i % 3]) for i in range(90) for lang in [("en", "de")[i % 2]]]
+    item = X.prose(20, 777, 3000)
+    rows += [(200, "Все люди рождаются свободными и равными в своем достоинстве и правах", "en", "a"), (201, None, "en", "a"), (202, "", None, None), (203, "12 --", "en", "a"), (None, rows[0][1], None, None), (None, rows[0][1], None, None), (None, rows[3][1], "de", "b")]
+    rows += [(300 + i, rows[7][1], "de", "a") for i in range(4)] + [(310, rows[9][1], "de", "a")] * 3 + [(400, f"{rows[4][1]} {item} {rows[5][1]}", "en", "a"), (401, " ".join(w if k % 9 else "other" for k, w in enumerate(item.split())), "en", "b")]
+    return rows, item
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against brute force on its own input, with other columns that have the names of the stages' own."""
+    rows, item = pipeline_rows()
+    d = X.write(spark, tmp_path, rows, benchmark=spark.createDataFrame([(1, item), (2, "fuchs"), (3, None)], "item_id long, text string"))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for k, c in enumerate(("row", "gone", "again", "r1", "_0", "draw", "first")):
+        docs = docs.withColumn(c, F.lit(k))
+    content = lambda df: collections.Counter((r.doc_id, r.text, r.lang, r.source) for r in df.collect())
+    stage = {name: lambda df, f=f: f(spark, df, d) for name, f in corpus_pipeline.STAGES}
+
+    named = stage["language_id"](docs)
+    assert named.columns == docs.columns and content(docs) - content(named) == collections.Counter({x: 1 for x in rows if x[0] in (200, 201, 202, 203)})
+
+    kept = stage["minhash_dedup"](docs)
+    want = collections.Counter()
+    least = brute_near(rows, 5)
+    for x in set(rows):
+        if x[0] is None or any(i == x[0] and stays for i, _, _, stays in least):
+            want[x] = 1
+    assert kept.columns == docs.columns and content(kept) == want
+
+    clean = stage["decontaminate"](docs)
+    leaks = brute_leaks(rows, [(1, item)])
+    assert clean.columns == docs.columns and content(clean) == collections.Counter(x for x in rows if (x[0], 1) not in leaks) and {i for i, _ in leaks} == {400, 401}
+
+    mixed = stage["mix_sources"](docs)
+    planned = op8_mix.mix_plan(docs).groupBy("source").agg(F.sum("taken").alias("k"), F.first("target").alias("t")).collect()
+    made = collections.Counter()
+    for (_, t, _, s), n in content(mixed).items():
+        made[s] += n * len((t or "").split())
+    assert mixed.columns == docs.columns and all(made[r.source] == r.k and abs(r.k - r.t) <= 1 + 0.01 * r.t for r in planned)
+
+
 def test_pipeline_edges(spark, tmp_path):
     d = X.write(spark, tmp_path, [r for r in X.texts() if r[0] != 1], benchmark=spark.createDataFrame([(1, X.prose(50, 3))], "item_id long, text string"))
     ids = collections.Counter(r.doc_id for r in corpus_pipeline.run(spark, d).collect())

@@ -282,6 +282,31 @@ def test_knapsack():
         assert abs(budget - used) <= max(min(abs(budget - x) for x in reach), budget // 100)
 
 
+def test_knapsack_with_few_long_documents():
+    for unit in (1, 1000, 1_000_003):
+        lengths = np.array([45_000, 40_000, 35_000]) * unit
+        take = op8_mix.fit_counts(lengths, np.array([1, 1, 1]), 75_000 * unit)
+        assert take.tolist() == [0, 1, 1]
+    assert op8_mix.fit_counts(np.array([10**9]), np.array([1]), 4 * 10**8).tolist() == [0]
+
+
+def test_mix_follows_rows_not_ids(spark):
+    """Rows with null, repeated and shared ids: the corpus has the words that the plan gives each source."""
+    rows = [(None, X.prose(3 + i % 5, i), "en", "a") for i in range(30)] + [(5, X.prose(4, 90), "en", "a")] * 4 + [(5, X.prose(6, 91 + i), "en", "a") for i in range(5)] + [(i, X.prose(9, 200 + i), "en", "b") for i in range(40)] + [(900, None, "en", "b"), (901, "", None, None)]
+    docs = X.documents(spark, rows)
+    docs = docs.withColumnRenamed("hashes", "_0").withColumnRenamed("lines", "copies")
+    planned = {r.source: r.k for r in op8_mix.mix_plan(docs).groupBy("source").agg(F.sum("taken").alias("k")).collect()}
+    mixed = op8_mix.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    made, again = (collections.Counter((r.doc_id, r.text, r.source) for r in op8_mix.mix_documents(docs).collect()) for _ in range(2))
+    words = collections.Counter()
+    for (_, t, s), n in made.items():
+        words[s] += n * len((t or "").split())
+    assert made == again and words["a"] == planned["a"] and words["b"] == planned["b"] and None not in words
+    have = collections.Counter((i, t, s) for i, t, _, s in rows)
+    assert set(made) <= set(have) and all(n <= 3 * have[k] for k, n in made.items())
+
+
 def test_hot_length_is_exact(spark, monkeypatch):
     monkeypatch.setattr(op8_mix, "PART", 16)
     docs = X.documents(spark, [(i, "a b c", "en", "s") for i in range(200)] + [(1000 + i, "x y", "en", "t") for i in range(50)])
@@ -292,7 +317,7 @@ def test_hot_length_is_exact(spark, monkeypatch):
 def test_tokens(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
-    rows = [r for r in X.texts() if r[0] != 1] + [(70, "<|endoftext|> a<|startoftext|>b Don't l'été\r\n\x00 nul", "en", "a")]
+    rows = [r for r in X.texts() if r[0] != 1] + [(70, "<|endoftext|> a<|startoftext|>b Don't l'été\r\n\x00 nul", "en", "a"), (-(1 << 63), "least id", "en", "a")]
     one = Tokenizer.from_file(op10_tokens.tokenizer_path())
     docs = sorted(((r[0] is not None, r[0] or 0, np.array([*one.encode(r[1] or "", add_special_tokens=False).ids, 2], dtype="<u4")) for r in rows), key=lambda x: (x[0], x[1], x[2].astype("<u2").tobytes()))
     want, start = collections.Counter(), 0
@@ -318,6 +343,8 @@ def test_huffman_round_trip():
         bits, offsets = op10_tokens.pack(ids, *code.encoder())
         assert (op10_tokens.unpack(bits, offsets, n, code, code.decoder()) == ids).all()
     assert op10_tokens.code_lengths(np.array([1, 1, 2, 4])).tolist() == [3, 3, 2, 1]
+    many = op10_tokens.code_lengths(np.ones(300_000, dtype=np.int64))
+    assert many.max() == 19 and (2.0**-many).sum() <= 1
 
 
 def test_encoder_without_shortcuts():
