@@ -76,7 +76,8 @@ def two_stage_draws(sizes: list[int], weights: list[float], replicas: int, rank:
     """Global indices of n draws of one rank: a source by weight, then a place of this rank in it.
 
     With shuffle both come from numpy's default generator, seeded by seed + rank + epoch; without, sources follow a
-    round robin that repeats each by its integer weight, starting at the rank's place, and places follow each other.
+    round robin that repeats each by its integer weight, starting at the rank's place, and the number of the draw gives
+    the place.
     """
     offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out: list[int] = []
@@ -90,9 +91,7 @@ def two_stage_draws(sizes: list[int], weights: list[float], replicas: int, rank:
     if any(w != int(w) for w in weights):
         raise ValueError("a round robin needs integer weights")
     order = [i for i, w in enumerate(weights) for _ in range(int(w))]
-    drawn = [0] * len(sizes)
-    for k in range(n):
+    for k in range(n):  # k counts the draws of all sources together
         source = order[(rank + k) % len(order)]
-        out.append(int(offsets[source]) + (drawn[source] * replicas + rank) % sizes[source])
-        drawn[source] += 1
+        out.append(int(offsets[source]) + (k * replicas + rank) % sizes[source])
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.randoms import uniform
 
 Box = tuple[Column, Column, Column, Column]
@@ -76,6 +77,23 @@ def shifted_boxes(first: Column, last: Column, frames: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda t: F.struct(*(step(n, t) for n in ("i", "j", "h", "w"))))
 
 
+def erase_plan(height: Column, width: Column, frames: int, area: tuple[float, float], aspect: float, *key, count: int = 1, cube: bool = True, splits: int = 1, probability: float = 1.0) -> Column:
+    """array of struct(frame, i, j, h, w): count boxes that share the area, the same in all frames (cube) or each frame's own.
+
+    With splits the first part of the frames stays as it is. A clip, or a frame of its own, is erased by probability.
+    """
+
+    def boxes_of(who: tuple, tries: int) -> Column:
+        found = F.array(*(erase_box(height, width, tuple(a / count for a in area), aspect, tries, *key, *who, c) for c in range(count)))
+        return F.when(uniform(*key, *who, "p") < probability, F.filter(found, lambda b: b.isNotNull())).otherwise(F.slice(found, 1, 0))
+
+    shown = lambda found, t: F.transform(found, lambda b: F.struct(t.alias("frame"), *(b[n].alias(n) for n in ("i", "j", "h", "w"))))
+    at = F.sequence(F.lit(frames // splits if splits > 1 else 0), F.lit(frames - 1))
+    if cube:
+        return let(boxes_of((), 20), lambda found: F.flatten(F.transform(at, lambda t: shown(found, t))))
+    return F.flatten(F.transform(at, lambda t: shown(boxes_of((t,), 10), t)))
+
+
 def erase_box(height: Column, width: Column, area: tuple[float, float], aspect: float, tries: int, *key) -> Column:
     """struct(i, j, h, w) of the first draw that is smaller than the frame, null if none of tries is."""
     from math import log

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Name -> factory(**options) of a function on arrays [N, D] -> [N, K].
 MODELS: dict[str, Callable[..., Callable[[np.ndarray], np.ndarray]]] = {}
@@ -104,7 +105,7 @@ def flat_map(df: DataFrame, function: Callable[[dict], Iterable[dict]], schema:
             if out:
                 yield pd.DataFrame(out)
 
-    names = [f.split()[0] for f in schema.split(", ")]
+    names = StructType.fromDDL(schema).names
     ordered = lambda it: (p.reindex(columns=[*names, "error"]) for p in run(it))
     return df.mapInPandas(ordered, f"{schema}, error string")
 

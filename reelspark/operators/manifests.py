@@ -54,3 +54,9 @@ def refill(slots: DataFrame, slot: str, valid: Column, seed: int = 0) -> DataFra
     n = F.broadcast(good.agg(F.count("*").alias("_n")))  # one row
     bad = slots.where(~F.coalesce(valid, F.lit(False))).crossJoin(n).withColumn("_place", hash32(seed, F.col(slot)) % F.col("_n"))
     return slots.where(valid).withColumn("use", F.col(slot)).unionByName(bad.join(good, "_place").drop("_place", "_n"))
+
+
+def of_camera(cameras: Column, camera: Column, suffix: str = "_left") -> Column:
+    """The entry of a camera's name in a map of all cameras' extrinsics; an unknown name raises."""
+    found = F.element_at(cameras, F.concat(camera, F.lit(suffix)))
+    return F.when(found.isNull(), F.raise_error(F.concat(F.lit("no extrinsics of camera "), F.coalesce(camera, F.lit("null"))))).otherwise(found)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import complement, let
@@ -77,9 +77,10 @@ def make_masks(samples: DataFrame, sample: str, batch: str, depth: int, height:
         drawn = blocks(drawn.drop("blocks"), sample, depth, height, width, cfg, seed + k * 1_000_003, F.col(batch))
         drawn = drawn.withColumn("target", F.when(F.size("target") < n, F.col("target")).otherwise(hidden_cells(F.col("blocks"), depth, height, width, cfg.max_context)))
     drawn = drawn.drop("blocks").withColumn("context", complement(F.col("target"), n))
-    least = drawn.groupBy(batch).agg(F.min(F.size("context")).alias("_c"), F.min(F.size("target")).alias("_t"))
+    own = Window.partitionBy(batch)  # a batch is what one step takes, so it is bounded
+    drawn = drawn.withColumns({"_c": F.min(F.size("context")).over(own), "_t": F.min(F.size("target")).over(own)})
     keep = lambda name, c: F.slice(name, 1, c if cfg.max_keep is None else F.least(c, F.lit(cfg.max_keep)))
-    cut = drawn.join(least, batch).withColumns({"context": keep("context", F.col("_c")), "target": F.slice("target", 1, F.col("_t"))}).drop("_c", "_t")
+    cut = drawn.withColumns({"context": keep("context", F.col("_c")), "target": F.slice("target", 1, F.col("_t"))}).drop("_c", "_t")
     if cfg.full_complement:
         cut = cut.withColumn("target", complement(F.col("context"), n))
     elif cfg.pred_full_complement:

@@ -84,3 +84,32 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
     both = left.withColumns({"_is": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)}).unionByName(right.select(key, at, F.lit(0).alias("_is"), F.col(value).alias("_v")), allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy(at, "_is").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_is = 1").drop("_is", "_v")
+
+
+class Recall:
+    """Class-mean recall as a state of its own: hits and rows by class, a table that batches and workers add up to."""
+
+    STATE = "class_id int, tp long, n long"
+
+    def __init__(self, k: int = 5):
+        self.k = k
+
+    def zero(self, spark) -> DataFrame:
+        return spark.createDataFrame([], self.STATE)
+
+    def of(self, batch: DataFrame, scores: Column, label: Column) -> DataFrame:
+        hit = F.array_contains(top_k(scores, self.k), label.cast("int")).cast("long")
+        return batch.groupBy(label.cast("int").alias("class_id")).agg(F.sum(hit).alias("tp"), F.count("*").alias("n"))
+
+    def merge(self, *states: DataFrame) -> DataFrame:
+        every = states[0]
+        for s in states[1:]:
+            every = every.unionByName(s)
+        return every.groupBy("class_id").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+
+    def update(self, state: DataFrame, batch: DataFrame, scores: Column, label: Column) -> DataFrame:
+        return self.merge(state, self.of(batch, scores, label))
+
+    def value(self, state: DataFrame) -> DataFrame:
+        """recall and accuracy in percent, and classes: one row."""
+        return state.agg((100.0 * F.avg(F.col("tp") / F.col("n"))).alias("recall"), (100.0 * F.sum("tp") / F.sum("n")).alias("accuracy"), F.count("*").alias("classes"))

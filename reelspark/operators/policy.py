@@ -28,6 +28,12 @@ OPERATIONS = (
 #: What stands in for an operation where severity must increase with the magnitude.
 INCREASING = {"Posterize": (-4.0, 4.0, False, True), "Solarize": (-256.0, 256.0, False, True), "Color": (0.9, 1.0, True, False), "Contrast": (0.9, 1.0, True, False), "Brightness": (0.9, 1.0, True, False), "Sharpness": (0.9, 1.0, True, False)}
 
+#: How likely an operation is chosen under w0 and w1; those not named are never chosen.
+CHOICE_WEIGHTS = (
+    {"Rotate": 0.3, "ShearX": 0.2, "ShearY": 0.2, "TranslateXRel": 0.1, "TranslateYRel": 0.1, "Color": 0.025, "Sharpness": 0.025, "AutoContrast": 0.025, "Solarize": 0.005, "SolarizeAdd": 0.005, "Contrast": 0.005, "Brightness": 0.005, "Equalize": 0.005},
+    {"Color": 0.25, "Sharpness": 0.25, "AutoContrast": 0.25, "Solarize": 0.05, "SolarizeAdd": 0.05, "Contrast": 0.05, "Brightness": 0.05, "Equalize": 0.05},
+)
+
 
 def parse(config: str) -> dict[str, float]:
     """Options of a policy string such as rand-m7-n4-mstd0.5-inc1; any inc switches increasing on, unknown keys are ignored."""
@@ -56,12 +62,23 @@ def table_of(spark: SparkSession, increasing: bool = False) -> DataFrame:
     return spark.range(1).select(F.inline(made))
 
 
+def weighted_choice(w: int, n: int, seed: int, key: Column) -> Column:
+    """n different operations by the weights of w: each runs a race of exponential speed, the first n to arrive are chosen."""
+    weights = [CHOICE_WEIGHTS[w].get(name, 0.0) for name, *_ in OPERATIONS]
+    arrivals = [F.struct((-F.ln(uniform(seed, key, i, "race")) / weight).alias("t"), F.lit(i).alias("op_id")) for i, weight in enumerate(weights) if weight]
+    return F.transform(F.slice(F.array_sort(F.array(*arrivals)), 1, n), lambda x: x["op_id"])
+
+
 def draw(samples: DataFrame, key: str, config: str, seed: int) -> DataFrame:
     """samples with one row per chosen operation: pick, op, magnitude, argument, applied (half of them)."""
     o = parse(config)
-    picks = samples.withColumn("pick", F.explode(F.sequence(F.lit(0), F.lit(int(o["n"]) - 1))))
+    if o["w"] >= 0:
+        picks = samples.select("*", F.posexplode(weighted_choice(int(o["w"]), int(o["n"]), seed, F.col(key))).alias("pick", "op_id"))
+    else:
+        picks = samples.withColumn("pick", F.explode(F.sequence(F.lit(0), F.lit(int(o["n"]) - 1))))
+        picks = picks.withColumn("op_id", (hash32(seed, F.col(key), F.col("pick"), "op") % len(OPERATIONS)).cast("int"))
     k = (seed, F.col(key), F.col("pick"))
-    drawn = picks.withColumn("op_id", (hash32(*k, "op") % len(OPERATIONS)).cast("int")).withColumn("magnitude", F.greatest(F.lit(0.0), F.least(F.lit(10.0), o["m"] + o["mstd"] * normal(*k, "m"))))
+    drawn = picks.withColumn("magnitude", F.greatest(F.lit(0.0), F.least(F.lit(10.0), o["m"] + o["mstd"] * normal(*k, "m"))))
     ops = F.broadcast(table_of(samples.sparkSession, bool(o["inc"])))
     base = F.col("magnitude") / 10 * F.col("factor")
     sign = F.when(F.col("is_signed") & (uniform(*k, "sign") > 0.5), -1.0).otherwise(1.0)

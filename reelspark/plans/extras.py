@@ -61,12 +61,12 @@ def mask_set_algebra(spark, d):
     return s.select("conv_id", show(F.array_union("a", "b")).alias("u"), show(F.array_intersect("a", "b")).alias("i"), show(F.array_except(F.sequence(F.lit(0), F.lit(15)).cast("array<long>"), "a")).alias("c"))
 
 
-@query(f"""SELECT m * 500 + v AS row_id, v AS vec_id, m AS mask_id, round(CASE m WHEN 0 THEN e[1] + e[3] ELSE e[8] + e[8] END, 6) AS total FROM (SELECT vec_id AS v, e FROM {E} WHERE vec_id < 500), range(2) r(m)""")
+@query(f"""SELECT m * n + place AS row_id, v AS vec_id, m AS mask_id, round(CASE m WHEN 0 THEN e[1] + e[3] ELSE e[8] + e[8] END, 6) AS total
+FROM (SELECT vec_id AS v, e, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM {E}), range(2) r(m)""")
 def mask_concat(spark, d):
     """Masks gathered one after the other, the rows of the first mask before those of the second.
 
-    A row's id is its place among all vectors, moved by the number of vectors for each mask before its own. The SQL
-    is written for 500 vectors with ids from 0, so the two agree on tables of that size.
+    A row's id is its place among all vectors, moved by the number of vectors for each mask before its own.
     """
     masks = F.array(F.array(F.lit(0), F.lit(2)), F.array(F.lit(7), F.lit(7)))
     e = table(spark, d, "embeddings").select("vec_id", A.dbl(F.col("embedding")).alias("e"))
@@ -98,20 +98,11 @@ def model_scores(spark, d):
     return s.select("vec_id", F.round(F.get("s", 0), 6).alias("s0"), F.round(F.get("s", 1), 6).alias("s1"))
 
 
-def _sliding_windows(spark, docs):
-    spark.udtf.register("sliding_windows", hooks.windows_udtf())
-    return spark.sql("SELECT doc_id, w.first, w.last FROM {docs}, LATERAL sliding_windows(0L, n_chars, 512L, 256L) w", docs=docs.select("doc_id", "n_chars"))
-
-
-@query("SELECT doc_id, k * 256 AS first, k * 256 + 511 AS last FROM documents, range(200) r(k) WHERE k * 256 + 512 <= n_chars AND n_chars < 20000")
-def udtf_windows(spark, d):
-    """Bound to its SQL, which stops before the documents of 20,000 characters; udtf_windows_all has them all."""
-    return _sliding_windows(spark, table(spark, d, "documents").where("n_chars < 20000"))
-
-
 @query("SELECT doc_id, first, first + 511 AS last FROM (SELECT doc_id, unnest(range(0, n_chars - 511, 256)) AS first FROM documents)")
-def udtf_windows_all(spark, d):
-    return _sliding_windows(spark, table(spark, d, "documents"))
+def udtf_windows(spark, d):
+    spark.udtf.register("sliding_windows", hooks.windows_udtf())
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    return spark.sql("SELECT doc_id, w.first, w.last FROM {docs}, LATERAL sliding_windows(0L, n_chars, 512L, 256L) w", docs=docs)
 
 
 @query("SELECT conv_id, turn, length(text)::BIGINT AS n FROM conversations WHERE role = 'user' UNION ALL SELECT NULL, NULL, NULL FROM conversations WHERE role <> 'user'")

@@ -167,6 +167,16 @@ def policy_draw(spark, d):
     return drawn.select("doc_id", "pick", "op", F.round("argument", 6).alias("argument"), "applied")
 
 
+_WEIGHTS = ", ".join(f"({i}, '{n}', {R.CHOICE_WEIGHTS[0][n]}::DOUBLE)" for i, (n, *_) in enumerate(R.OPERATIONS) if n in R.CHOICE_WEIGHTS[0])
+
+
+@query(f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY -ln({U("'6:' || doc_id || ':' || op_id || ':race'")}) / weight, op_id) - 1)::INT AS pick, op
+FROM documents, (VALUES {_WEIGHTS}) o(op_id, op, weight) QUALIFY pick < 3""")
+def policy_choice(spark, d):
+    """Operations by weight, no operation twice."""
+    return R.draw(table(spark, d, "documents").select("doc_id"), "doc_id", "rand-m7-n3-w0", 6).select("doc_id", "pick", "op")
+
+
 @query("""WITH g AS (SELECT id, -0.05 + 0.1 * (id // 25) / 4 AS dx, -0.05 + 0.1 * ((id // 5) % 5) / 4 AS dy, -0.05 + 0.1 * (id % 5) / 4 AS dz FROM range(125) r(id)),
 f AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 2), c AS (SELECT a.e AS a, b.e AS b FROM f a, f b WHERE a.vec_id = 0 AND b.vec_id = 1)
 SELECT id, round(dx, 6) + 0.0 AS dx, round(dz, 6) + 0.0 AS dz, round(list_avg([abs(a[i] + dx * 3 + dy * 2 + dz - b[i]) for i in range(1, 65)]), 6) AS energy FROM g, c""")

@@ -156,9 +156,8 @@ def weighted_draw(spark, d):
     return S.weighted_draws(docs, "doc_id", "weight", 500, seed=11).select("draw", "doc_id")
 
 
-@query("""WITH o AS (SELECT * FROM (VALUES (0, 0), (1, 1), (2, 1), (3, 1), (4, 2)) t(place, source)), k AS (SELECT i FROM range(600) r(i)),
-picks AS (SELECT i, source, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS times FROM k JOIN o ON (i + 2) % 5 = place)
-SELECT i AS draw, source AS in_source, ((times * 4 + 2) % (100 * (source + 1)) + CASE source WHEN 0 THEN 0 WHEN 1 THEN 100 ELSE 300 END)::BIGINT AS idx FROM picks""")
+@query("""WITH o AS (SELECT * FROM (VALUES (0, 0), (1, 1), (2, 1), (3, 1), (4, 2)) t(place, source)), picks AS (SELECT i, source FROM range(600) r(i) JOIN o ON (i + 2) % 5 = place)
+SELECT i AS draw, source AS in_source, ((i * 4 + 2) % (100 * (source + 1)) + CASE source WHEN 0 THEN 0 WHEN 1 THEN 100 ELSE 300 END)::BIGINT AS idx FROM picks""")
 def weighted_round_robin(spark, d):
     return S.round_robin_draws(spark, sizes=[100, 200, 300], weights=[1, 3, 1], replicas=4, rank=2, n=600)
 
@@ -170,17 +169,30 @@ def two_stage_draw(spark, d):
     return S.two_stage(spark, sizes, [1.0] * len(sizes), replicas=4, seed=0, epoch=0, n=200)
 
 
+@query()
+def permutation_draw(spark, d):
+    """Rows of each source in a seeded order, source by weight; numpy's generator, so the tests hold its properties."""
+    sizes = [r.n for r in table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect()]
+    return S.permutation_draws(spark, sizes, [1.0] * len(sizes), replicas=2, seed=0, epoch=0, n=2 * sum(sizes))
+
+
+@query("""WITH h AS (SELECT source, doc_id, ('0x' || substr(md5('5:' || doc_id), 1, 8))::BIGINT AS h FROM documents) SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 AS pass_place FROM h""")
+def source_permutation(spark, d):
+    return S.per_source_permutation(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 5)
+
+
 @query("SELECT user_id, min(event_id) AS first_at FROM events GROUP BY 1")
 def first_appearance_unique(spark, d):
     return M.first_appearance(table(spark, d, "events"), "user_id", "event_id")
 
 
 @query("""WITH c AS (SELECT lang, dense_rank() OVER (ORDER BY lang) - 1 AS target FROM (SELECT DISTINCT lang FROM documents)),
-l AS (SELECT lang || '_' || doc_id || '.png' AS line FROM documents WHERE doc_id % 3 = 0)
+l AS (SELECT lang || '_' || doc_id || '.png' AS line FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id))
 SELECT 'root/' || split_part(line, '_', 1) || '/' || line AS path, target FROM l JOIN c ON lang = split_part(line, '_', 1)""")
 def subset_scan(spark, d):
+    """A list names the rows to keep; the labelled documents stand for it."""
     docs = table(spark, d, "documents")
-    lines = docs.where("doc_id % 3 = 0").select(F.concat(F.col("lang"), F.lit("_"), F.col("doc_id"), F.lit(".png")).alias("line"))
+    lines = docs.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id").select(F.concat(F.col("lang"), F.lit("_"), F.col("doc_id"), F.lit(".png")).alias("line"))
     named = lines.withColumn("lang", F.split("line", "_")[0])
     return M.encode(named, M.vocabulary(docs, ["lang"], "target"), ["lang"], "target").select(F.concat_ws("/", F.lit("root"), "lang", "line").alias("path"), "target")
 
@@ -204,12 +216,9 @@ def skip_batches(spark, d):
     return global_index(table(spark, d, "documents").select("doc_id"), "doc_id").withColumn("batch_id", F.floor(F.col("idx") / 24)).where("batch_id >= 5").drop("idx")
 
 
-@query("""SELECT i AS itr, doc_id FROM range(1500) r(i) JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents) ON place = i % n""")
+@query("""SELECT i AS itr, doc_id FROM (SELECT unnest(range(greatest(1500, count(*) + count(*) // 2))) AS i FROM documents) JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents) ON place = i % n""")
 def cyclic_refill(spark, d):
-    """Draws go round the documents: 1,500, or one and a half rounds where that is more, so that all are met and it wraps.
-
-    The SQL has 1,500 draws, so the two agree on tables of up to 1,000 documents.
-    """
+    """Draws go round the documents: 1,500, or one and a half rounds where that is more, so that all are met and it wraps."""
     ids = table(spark, d, "documents").select("doc_id")
     docs, n = global_index(ids, "doc_id", "_place"), ids.count()
     draws = spark.range(max(1500, n + n // 2)).select(F.col("id").alias("itr"), (F.col("id") % max(n, 1)).alias("_place"))
@@ -239,19 +248,21 @@ def state_key_rename(spark, d):
     return table(spark, d, "documents").select(F.explode(F.map_keys(renamed)).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
-def _log_lines(events):
-    return events.select(F.format_string("%d,%05d,%.3f", F.dayofmonth("ts"), "event_id", "value").alias("line"))
-
-
-@query("""SELECT format('{:d},{:05d},{:.3f}', extract(day FROM ts)::INT, event_id, value) AS line FROM events WHERE event_id < 200""")
-def csv_log_lines(spark, d):
-    """Bound to its SQL, which stops before event 200; csv_log_lines_all has all events."""
-    return _log_lines(table(spark, d, "events").where("event_id < 200"))
-
-
 @query("""SELECT format('{:d},{:05d},{:.3f}', extract(day FROM ts)::INT, event_id, value) AS line FROM events""")
-def csv_log_lines_all(spark, d):
-    return _log_lines(table(spark, d, "events"))
+def csv_log_lines(spark, d):
+    return table(spark, d, "events").select(F.format_string("%d,%05d,%.3f", F.dayofmonth("ts"), "event_id", "value").alias("line"))
+
+
+@query("""SELECT s_suppkey, r_name AS camera, r_regionkey * 1.5::DOUBLE AS x, -1.0 * n_nationkey AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def extrinsics_by_camera(spark, d):
+    """Each trajectory's extrinsics of the camera that its view names, out of those of all its cameras."""
+    regions = table(spark, d, "region")
+    cameras = F.broadcast(regions.agg(F.map_from_entries(F.collect_list(F.struct(F.concat("r_name", F.lit("_left")), F.col("r_regionkey") * 1.5))).alias("cameras")))  # one row
+    nations = table(spark, d, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), "r_name")
+    t = table(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(F.broadcast(nations), "s_nationkey").crossJoin(cameras)
+    all_ = F.transform_values("cameras", lambda k, v: F.array(v, -1.0 * F.col("s_nationkey")))
+    found = t.select("s_suppkey", F.col("r_name").alias("camera"), M.of_camera(all_, F.col("r_name")).alias("e"))
+    return found.select("s_suppkey", "camera", F.get("e", 0).alias("x"), F.get("e", 1).alias("y"))
 
 
 @query("""SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 5""")

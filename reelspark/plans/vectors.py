@@ -68,17 +68,16 @@ def lp_loss(spark, d):
 
 
 _GRID = """
-WITH c AS (SELECT vec_id AS token, vec_id // 64 AS f, (vec_id % 64) // 8 AS y, vec_id % 8 AS x, label < 3 AS hidden FROM embeddings WHERE vec_id < 512),
-dist AS (SELECT a.token, min(sqrt((a.f - b.f) * (a.f - b.f) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))) AS dmin FROM c a JOIN c b ON b.hidden WHERE NOT a.hidden GROUP BY 1)
+WITH c AS (SELECT vec_id AS token, vec_id // 512 AS sample, vec_id // 64 AS f, (vec_id % 64) // 8 AS y, vec_id % 8 AS x, label < 3 AS hidden FROM embeddings),
+dist AS (SELECT a.token, min(sqrt((a.f - b.f) * (a.f - b.f) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))) AS dmin FROM c a JOIN c b ON b.hidden AND b.sample = a.sample WHERE NOT a.hidden GROUP BY 1)
 """
 
 
 def _grid_distance(spark, d):
     """Least distance on the grid from each visible token to the hidden ones of its sample.
 
-    A sample is 512 tokens, 8 frames of 8 x 8, over the whole table; one without hidden tokens gives no rows. The SQL
-    knows only the first sample, so the two agree on tables of up to 512 vectors. Tokens of a sample are an array, so
-    the nearest join is a fold inside one row and never a join of all with all.
+    A sample is 512 tokens, 8 frames of 8 x 8, over the whole table; one without hidden tokens gives no rows. Tokens of
+    a sample are an array, so the nearest join is a fold inside one row and never a join of all with all.
     """
     f, y, x = A.token_position(F.col("vec_id"), 8, 8)
     c = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 512).alias("sample"), F.struct(F.col("vec_id").alias("token"), f.alias("f"), y.alias("y"), x.alias("x"), (F.col("label") < 3).alias("hidden")).alias("t"))

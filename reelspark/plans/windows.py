@@ -54,20 +54,10 @@ def clip_indices_random(spark, d):
     return docs.select("doc_id", F.aggregate(F.flatten(plan), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-def _clip_plan(docs):
-    step = W.step_from_duration(2.5, F.col("n_chars"), 16)
-    return docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<long>")).alias("clip"), F.col("n_chars").alias("fps"), step.alias("step"))
-
-
-@query("""SELECT doc_id, unnest(range(4)) AS clip, n_chars AS fps, trunc(2.5 * n_chars / 16)::BIGINT AS step FROM documents WHERE n_chars < 1000""")
-def clip_plan_explode(spark, d):
-    """Bound to its SQL, which stops before the documents of 1,000 characters; clip_plan_explode_all has them all."""
-    return _clip_plan(table(spark, d, "documents").where("n_chars < 1000"))
-
-
 @query("""SELECT doc_id, unnest(range(4)) AS clip, n_chars AS fps, trunc(2.5 * n_chars / 16)::BIGINT AS step FROM documents""")
-def clip_plan_explode_all(spark, d):
-    return _clip_plan(table(spark, d, "documents"))
+def clip_plan_explode(spark, d):
+    step = W.step_from_duration(2.5, F.col("n_chars"), 16)
+    return table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<long>")).alias("clip"), F.col("n_chars").alias("fps"), step.alias("step"))
 
 
 @query("SELECT doc_id, trunc(4.0 * ceil(n_chars / 7.0) / 16)::BIGINT AS step FROM documents")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.indexing import concat_ranges
@@ -38,18 +39,27 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"no reader for manifest {path}")
 
 
+def _placed(rows: DataFrame, path: str) -> DataFrame:
+    """rows with local_id, their place in the manifest's files by name and offset, without a sort.
+
+    A split's rows have consecutive numbers, so a row's place is what the splits before its own hold, a small table,
+    and how far it is from the first of its split.
+    """
+    splits = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")) if path.endswith((".csv", ".txt", ".parquet")) else F.struct(F.spark_partition_id())
+    numbered = rows.select(F.col("path"), F.col("label"), splits.alias("_split"), F.monotonically_increasing_id().alias("_number"))
+    per = numbered.groupBy("_split").agg(F.count("*").alias("_here"), F.min("_number").alias("_first"))
+    before = F.sum("_here").over(Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    per = F.broadcast(per.select(F.col("_split").alias("_own"), "_first", F.coalesce(before, F.lit(0)).alias("_before")))  # a row per split
+    joined = numbered.join(per, F.col("_split") == F.col("_own"))
+    return joined.select("path", "label", (F.col("_before") + F.col("_number") - F.col("_first")).alias("local_id"))
+
+
 def mixture(spark: SparkSession, paths: str | list[str], weights: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with source_id, local_id and sample_weight; sources with n, lo, hi)."""
     paths = [paths] if isinstance(paths, str) else paths
     if weights is not None and len(weights) != len(paths):
         raise ValueError("a weight per manifest is needed")
-    parts = [manifest(spark, p).withColumns({"source_id": F.lit(i), "_order": F.monotonically_increasing_id()}) for i, p in enumerate(paths)]
-    from pyspark.sql import Window
-
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = rows.withColumn("local_id", F.row_number().over(Window.partitionBy("source_id").orderBy("_order")) - 1).drop("_order")
+    rows = reduce(lambda a, b: a.unionByName(b), [_placed(manifest(spark, p), p).withColumn("source_id", F.lit(i)) for i, p in enumerate(paths)])
     sizes = concat_ranges(rows.groupBy("source_id").agg(F.count("*").alias("n")), "source_id", "n")
     w = F.get(F.array(*(F.lit(float(x)) for x in (weights or [1.0] * len(paths)))), F.col("source_id"))
     return rows.join(F.broadcast(sizes.select("source_id", "n")), "source_id").withColumn("sample_weight", w / F.col("n")).drop("n"), sizes

@@ -1,6 +1,7 @@
 """Pinned values, numpy restatements and edge cases of the functions and operators."""
 
 import datetime
+import decimal
 import json
 import math
 
@@ -13,7 +14,7 @@ from reelspark.functions import pixels as X
 from reelspark.functions import poses as P
 from reelspark.functions import randoms as U
 from reelspark.functions import windows as W
-from reelspark.operators import indexing, manifests, masks, metrics, policy, sampling
+from reelspark.operators import boxes, hooks, indexing, manifests, masks, metrics, policy, sampling
 from reelspark.sources import arrays as SA
 from reelspark.sources import files, sinks
 from reelspark.streaming import streams
@@ -226,12 +227,114 @@ def test_trajectories_and_folders(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, 0.51239)], "epoch int, itr int, loss double")
     sinks.typed_csv(df, str(tmp_path / "log"), [("%d", "epoch"), ("%05d", "itr"), ("%.3f", "loss")])
-    text = next((tmp_path / "log").glob("*.csv")).read_text()
-    assert text == "epoch,itr,loss\n1,00002,0.512\n"
+    more = spark.createDataFrame([(2, k, 0.25 * k) for k in range(50, 0, -1)], "epoch int, itr int, loss double").repartition(7)
+    sinks.typed_csv(more, str(tmp_path / "log"), [("%d", "epoch"), ("%05d", "itr"), ("%.3f", "loss")], ["epoch", "itr"])
+    first, second = sorted((p.read_text() for p in (tmp_path / "log").glob("*.csv")), key=len)
+    assert first == "epoch,itr,loss\n1,00002,0.512\n"
+    assert second.split("\n") == [*(f"2,{k:05d},{0.25 * k:.3f}" for k in range(1, 51)), ""]
+    sinks.options(spark, str(tmp_path / "options"), {"a": {"b": [1, 2]}})
+    assert files.load_options(spark.read.text(str(tmp_path / "options")).first()[0]) == {"a": {"b": [1, 2]}}
     assert sinks.snapshot(df, str(tmp_path / "snap"), 4, 2) == [] and (tmp_path / "snap" / "e4").exists()
     assert sinks.fresh_folder("run", True, False, datetime.datetime(2024, 1, 2, 3, 4, 5)) == "run_24_01_02_03_04_05"
 
 
+def test_telemetry_files(spark, tmp_path):
+    import csv
+    import io
+
+    rows = [(r, w, float(t), f'a "{t}", b' if t else None, t) for r in range(2) for w in range(2) for t in range(5)]
+    kind = "rank int, worker int, timestamp double, name string, n int"
+    for first, part in ((True, rows[::-1]), (True, rows[::-1]), (False, [(0, 1, 9.0, "z", 9)])):
+        sinks.telemetry(spark.createDataFrame(part, kind).repartition(3), str(tmp_path / "t"), first=first)
+    for r in range(2):
+        for w in range(2):
+            texts = sorted((p.read_bytes().decode() for p in (tmp_path / "t" / f"rank={r}" / f"worker={w}").glob("part-*")), key=len, reverse=True)
+            buffer = io.StringIO()
+            out = csv.writer(buffer, quoting=csv.QUOTE_NONNUMERIC)
+            out.writerows([["timestamp", "name", "n"], *(x[2:] for x in rows if x[:2] == (r, w))])
+            assert texts == [buffer.getvalue(), *(['9.0,"z",9\r\n'] if (r, w) == (0, 1) else [])]
+
+
+def test_index_of_many_rows_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(indexing, "RANGE_ROWS", 50)
+    monkeypatch.setattr(indexing, "RANGES", 64)
+    rows = [(7 if i % 3 else i * 13 % 401, i * 7919 % 3000) for i in range(3000)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "k int, t int").repartition(5)
+    got = {(r.k, r.t): r.idx for r in indexing.global_index(df, "k", ties=["t"]).collect()}
+    assert [x for x, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1])) and sorted(got.values()) == list(range(3001))
+    sizes = [r["count"] for r in indexing._ranged(df, F.col("k"), ["t"]).groupBy("_range").count().collect()]
+    assert max(sizes) < 250
+    weighted = spark.createDataFrame([(i, i % 4) for i in range(400)], "k int, w int")
+    sums, want = 0, {}
+    for i in range(400):
+        for _ in range(i % 4):
+            want[sums] = i
+            sums += 1
+    drawn = sampling.weighted_draws(weighted, "k", "w", 5000, 3).withColumn("at", F.floor(U.uniform(3, F.col("draw")) * sums)).collect()
+    assert len(drawn) == 5000 and all(r.k == want[r.at] for r in drawn)
+    assert sampling.weighted_draws(weighted.where("w = 0"), "k", "w", 5, 3).count() == 0
+
+
+def test_round_robin_across_sources(spark):
+    """Counted by hand: the draw's number steps on through all sources."""
+    got = [(r.in_source, r.idx) for r in sampling.round_robin_draws(spark, [100, 200, 300], [1, 2, 1], 4, 2, 7).orderBy("draw").collect()]
+    assert got == [(1, 102), (2, 306), (0, 10), (1, 114), (1, 118), (2, 322), (0, 26)]
+
+
+def test_permutation_draws(spark):
+    got = sampling.permutation_draws(spark, [40, 60], [1, 3], 2, 0, 0, 200).collect()
+    for rank in range(2):
+        mine = sorted((r.draw, r.in_source, r.idx) for r in got if r.rank == rank)
+        assert len(mine) == 200
+        for source, size, offset in ((0, 40, 0), (1, 60, 40)):
+            seen = [i for _, s, i in mine if s == source]
+            own = set(range(offset + rank, offset + size, 2))
+            assert len(seen) > len(own) and set(seen[: len(own)]) == own and len(set(seen[len(own) : 2 * len(own)])) == len(seen[len(own) : 2 * len(own)])
+
+
+def test_mixture_follows_the_files(spark, tmp_path):
+    for name, lo, hi in (("a", 0, 3), ("b", 3, 900), ("c", 900, 905)):
+        (tmp_path / "m.csv").mkdir(exist_ok=True)
+        (tmp_path / "m.csv" / f"{name}.csv").write_text("".join(f"clip{i} {i}\n" for i in range(lo, hi)))
+    rows, sizes = files.mixture(spark, [str(tmp_path / "m.csv"), str(tmp_path / "m.csv" / "c.csv")], [1.0, 2.0])
+    got = {(r.source_id, r.local_id): r.label for r in rows.collect()}
+    assert got == {(0, i): i for i in range(905)} | {(1, i): 900 + i for i in range(5)} and [r.n for r in sizes.orderBy("source_id").collect()] == [905, 5]
+
+
+def test_recall_merges(spark):
+    rows = [(i, [((i * 7 + c * 5) % 11) / 11 for c in range(6)], i % 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, s array<double>, y int")
+    m = metrics.Recall(2)
+    parts = [m.of(df.where(f"i % 3 = {k}"), F.col("s"), F.col("y")) for k in range(3)]
+    state = m.update(m.merge(m.zero(spark), *parts[:2]), df.where("i % 3 = 2"), F.col("s"), F.col("y"))
+    whole = metrics.class_mean_recall(df, F.col("s"), F.col("y"), 2, eps=0.0).first()
+    got = m.value(state).first()
+    assert abs(got.recall - whole.recall) < 1e-9 and got.accuracy == whole.accuracy and got.classes == 4
+
+
+def test_erase_plans(spark):
+    clip = spark.range(40).withColumns({"h": F.lit(100), "w": F.lit(80)})
+    plan = lambda **o: boxes.erase_plan(F.col("h"), F.col("w"), 8, (0.02, 0.3), 0.3, 1, F.col("id"), **o)
+    got = clip.select(plan().alias("a"), plan(cube=False, count=2).alias("b"), plan(splits=4).alias("c"), plan(probability=0.0).alias("d")).collect()
+    for r in got:
+        assert {x.frame for x in r.a} == set(range(8)) and len({x[1:] for x in r.a}) == 1 and len(r.b) <= 16 and len({x[1:] for x in r.b}) > 2
+        assert [x.frame for x in r.c] == list(range(2, 8)) and r.d == []
+        assert all(x.h < 100 and x.w < 80 and 0 <= x.i <= 100 - x.h and 0 <= x.j <= 80 - x.w and x.h * x.w <= 0.31 * 8000 for x in r.a + r.b)
+
+
+def test_flat_map_schemas(spark):
+    df = spark.createDataFrame([(1,), (2,)], "a int")
+    made = hooks.flat_map(df, lambda r: [{"x": decimal.Decimal(r["a"]), "y": {"p": r["a"], "q": "z"}}], "x decimal(10, 2), y struct<p: int, q: string>")
+    assert sorted((r.x, r.y.p, r.error) for r in made.collect()) == [(1, 1, None), (2, 2, None)]
+
+
+def test_camera_without_extrinsics(spark):
+    df = spark.createDataFrame([("a", {"a_left": [1.0]})], "c string, m map<string,array<double>>")
+    assert df.select(manifests.of_camera(F.col("m"), F.col("c"))).first()[0] == [1.0]
+    with pytest.raises(Exception, match="no extrinsics of camera b"):
+        df.select(manifests.of_camera(F.col("m"), F.lit("b"))).collect()
+
+
 def test_options_and_retries():
     assert files.load_options('{"a": {"b": 1}}', {"a.c": 2}) == {"a": {"b": 1, "c": 2}}
     calls = []

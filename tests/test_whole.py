@@ -41,9 +41,9 @@ def test_mask_concat_of_every_vector(spark, tmp_path):
 def test_windows_and_clips_of_long_documents(spark, tmp_path):
     sizes = {1: 0, 2: 511, 3: 512, 4: 999, 5: 1000, 6: 20_000, 7: 60_001}
     spark.createDataFrame(list(sizes.items()), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(tuple(r) for r in catalogue.QUERIES["udtf_windows_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in catalogue.QUERIES["udtf_windows"](spark, str(tmp_path)).collect())
     assert got == [(i, k, k + 511) for i, n in sizes.items() for k in range(0, n - 511, 256)]
-    got = sorted(tuple(r) for r in catalogue.QUERIES["clip_plan_explode_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in catalogue.QUERIES["clip_plan_explode"](spark, str(tmp_path)).collect())
     assert got == [(i, c, n, int(2.5 * n / 16)) for i, n in sizes.items() for c in range(4)]
 
 
@@ -52,5 +52,5 @@ def test_refill_wraps_and_log_has_all(spark, tmp_path):
     got = sorted(tuple(r) for r in catalogue.QUERIES["cyclic_refill"](spark, str(tmp_path)).collect())
     assert got == [(i, i % 2000) for i in range(3000)]
     spark.range(250).selectExpr("id AS event_id", "timestamp_ntz'2024-01-05 00:00:00' AS ts", "id / 8 AS value").write.parquet(f"{tmp_path}/events.parquet")
-    lines = {r.line for r in catalogue.QUERIES["csv_log_lines_all"](spark, str(tmp_path)).collect()}
+    lines = {r.line for r in catalogue.QUERIES["csv_log_lines"](spark, str(tmp_path)).collect()}
     assert len(lines) == 250 and "5,00249,31.125" in lines
