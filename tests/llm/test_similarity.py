@@ -75,6 +75,17 @@ def test_embeddings(spark, tmp_path):
     assert collections.Counter(tuple(r) for r in op3_embeddings.op3_embedding_dedup(spark, str(tmp_path)).collect()) == brute_vectors(rows)
 
 
+def test_sketches_keep_linked_vectors():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 48))
+    y = rng.standard_normal((3000, 48))
+    y -= (x * y).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    z = 0.95 * x + np.sqrt(1 - 0.95**2) * y  # at the threshold
+    planes = rng.standard_normal((48, op3_embeddings.SKETCH))
+    assert ((x @ planes > 0) != (z @ planes > 0)).sum(1).max() <= op3_embeddings.most_apart(0.95) < 0.25 * op3_embeddings.SKETCH
+
+
 def shingles(text, n):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)]) if w else frozenset()
