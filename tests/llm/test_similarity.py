@@ -361,7 +361,7 @@ def pipeline_rows():
     lines = {"en": X.prose(400, 41, 90).split(), "de": "der schnelle braune fuchs springt über den faulen hund und läuft durch große wälder".split()}
     rows = [(i, " ".join(r.choice(lines[lang]) for _ in range(r.randint(8, 80))), lang, "abc"[i % 3]) for i in range(90) for lang in [("en", "de")[i % 2]]]
     item = X.prose(20, 777, 3000)
-    rows += [(200, "Все люди рождаются свободными и равными в своем достоинстве и правах", "en", "a"), (201, None, "en", "a"), (202, "", None, None), (203, "12 --", "en", "a"), (None, rows[0][1], None, None), (None, rows[0][1], None, None), (None, rows[3][1], "de", "b")]
+    rows += [(200, "Все люди рождаются свободными и равными в своем достоинстве и правах", None, "a"), (201, None, "en", "a"), (202, "", None, None), (203, "12 --", "en", "a"), (None, rows[0][1], None, None), (None, rows[0][1], None, None), (None, rows[3][1], "de", "b")]
     rows += [(300 + i, rows[7][1], "de", "a") for i in range(4)] + [(310, rows[9][1], "de", "a")] * 3 + [(400, f"{rows[4][1]} {item} {rows[5][1]}", "en", "a"), (401, " ".join(w if k % 9 else "other" for k, w in enumerate(item.split())), "en", "b")]
     return rows, item
 
