@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 #: Weights of blue, green and red in grey.
 GREY = (0.114, 0.587, 0.299)
+#: Fixed value: what geometric operations of a policy put where no pixel is.
+FILL = 128
 
 
 def to_tensor(clip: np.ndarray, scale: float = 255.0) -> np.ndarray:
@@ -67,10 +69,25 @@ def grayscale(clip: np.ndarray) -> np.ndarray:
     return np.repeat((clip.astype(np.float32) @ np.array(GREY, np.float32))[..., None], clip.shape[-1], axis=-1)
 
 
+def adjust_hue(clip: np.ndarray, turn: float) -> np.ndarray:
+    """RGB in 0..255 with the hue moved by turn of the colour circle; value and saturation stay, greys too."""
+    v = clip.astype(np.float32)
+    high, low = v.max(-1, keepdims=True), v.min(-1, keepdims=True)
+    spread = np.where(high > low, high - low, 1)
+    r, g, b = (v[..., c : c + 1] for c in range(3))
+    sixth = np.where(high == r, (g - b) / spread, np.where(high == g, 2 + (b - r) / spread, 4 + (r - g) / spread))
+    # a channel falls from high to low as the hue, in sixths, leaves the place where that channel is full
+    away = (np.array([5, 3, 1], np.float32) + sixth + 6 * np.float32(turn)) % 6
+    return high - (high - low) * np.clip(np.minimum(away, 4 - away), 0, 1)
+
+
 def color_jitter(clip: np.ndarray, order: list[str], amounts: dict[str, float]) -> np.ndarray:
-    """Brightness, contrast and saturation, each blended in turn in the order given."""
+    """Brightness, contrast and saturation, each blended in turn in the order given; hue is a turn of the circle."""
     out = clip.astype(np.float32)
     for name in order:
+        if name == "hue":
+            out = adjust_hue(out, amounts.get(name, 0.0))
+            continue
         base = {"brightness": lambda c: np.zeros_like(c), "contrast": lambda c: np.broadcast_to(grayscale(c).mean(axis=(1, 2, 3), keepdims=True), c.shape), "saturation": grayscale}[name](out)
         out = blend(out, base, 1.0 + amounts.get(name, 0.0))
     return out
@@ -93,24 +110,33 @@ def frame_pad(clip: np.ndarray, total: int) -> np.ndarray:
     return clip[np.arange(total) % len(clip)]
 
 
-def rotate(clip: np.ndarray, degrees: float) -> np.ndarray:
-    """About the centre, nearest pixel, zeros outside."""
+def rotate(clip: np.ndarray, degrees: float, fill: float = FILL, bilinear: bool = False) -> np.ndarray:
+    """About the centre; what comes from outside is fill."""
     h, w = clip.shape[1:3]
     a = np.deg2rad(degrees)
     y, x = np.mgrid[0:h, 0:w] - np.array([(h - 1) / 2, (w - 1) / 2]).reshape(2, 1, 1)
-    return _sample(clip, np.cos(a) * y + np.sin(a) * x + (h - 1) / 2, -np.sin(a) * y + np.cos(a) * x + (w - 1) / 2)
+    return _sample(clip, np.cos(a) * y + np.sin(a) * x + (h - 1) / 2, -np.sin(a) * y + np.cos(a) * x + (w - 1) / 2, fill, bilinear)
 
 
-def _sample(clip: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    yi, xi = np.rint(y).astype(int), np.rint(x).astype(int)
-    inside = (yi >= 0) & (yi < clip.shape[1]) & (xi >= 0) & (xi < clip.shape[2])
-    out = clip[:, np.clip(yi, 0, clip.shape[1] - 1), np.clip(xi, 0, clip.shape[2] - 1)]
-    return np.where(inside[None, :, :, None], out, 0).astype(clip.dtype)
-
-
-def affine(clip: np.ndarray, shear_x=0.0, shear_y=0.0, move_x=0.0, move_y=0.0) -> np.ndarray:
+def _sample(clip: np.ndarray, y: np.ndarray, x: np.ndarray, fill: float, bilinear: bool) -> np.ndarray:
+    """clip at the places (y, x): the nearest pixel, or the mean of the four around by distance."""
+    h, w = clip.shape[1:3]
+    inside = (y > -0.5) & (y < h - 0.5) & (x > -0.5) & (x < w - 0.5)
+    y, x = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
+    if bilinear:
+        y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+        y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+        fy, fx = ((v - v0)[None, :, :, None] for v, v0 in ((y, y0), (x, x0)))
+        out = (clip[:, y0, x0] * (1 - fx) + clip[:, y0, x1] * fx) * (1 - fy) + (clip[:, y1, x0] * (1 - fx) + clip[:, y1, x1] * fx) * fy
+        out = np.rint(out) if np.issubdtype(clip.dtype, np.integer) else out
+    else:
+        out = clip[:, np.rint(y).astype(int), np.rint(x).astype(int)]
+    return np.where(inside[None, :, :, None], out, fill).astype(clip.dtype)
+
+
+def affine(clip: np.ndarray, shear_x=0.0, shear_y=0.0, move_x=0.0, move_y=0.0, fill: float = FILL, bilinear: bool = False) -> np.ndarray:
     y, x = np.mgrid[0 : clip.shape[1], 0 : clip.shape[2]].astype(float)
-    return _sample(clip, y + shear_y * x + move_y, x + shear_x * y + move_x)
+    return _sample(clip, y + shear_y * x + move_y, x + shear_x * y + move_x, fill, bilinear)
 
 
 def _smooth(clip: np.ndarray) -> np.ndarray:
@@ -175,6 +201,17 @@ def rotary(x: np.ndarray, pos: np.ndarray, interleaved: bool) -> np.ndarray:
     return x * np.cos(angle) + turned * np.sin(angle)
 
 
+def checksum(function: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column, Column], Column]:
+    """A column function of (binary clip, shape): the sum of value * place, places from 1, of the result's rounded values."""
+
+    @F.pandas_udf("long")
+    def run(data: pd.Series, shape: pd.Series) -> pd.Series:
+        out = [np.rint(function(np.frombuffer(b, np.uint8).reshape([int(n) for n in s]))).astype(np.int64).ravel() if b is not None else None for b, s in zip(data, shape, strict=True)]
+        return pd.Series([None if o is None else int(o @ np.arange(1, len(o) + 1)) for o in out], dtype="Int64")
+
+    return run
+
+
 def apply_to_clips(function: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column, Column], Column]:
     """A column function of (binary clip, its shape array) -> struct(data binary float32, shape array<int>)."""
 

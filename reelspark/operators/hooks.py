@@ -56,14 +56,33 @@ def score(name: str, **options) -> Callable[[Column], Column]:
     return run
 
 
-def read_clips(plan: DataFrame, decoder: Callable[[str], tuple[int, Callable[[list[int]], np.ndarray]]]) -> DataFrame:
-    """plan (path, clip_id, frames array<long>) -> path, clip_id, data, shape, error.
-
-    decoder(path) opens a recording and gives its length and a reader of frame indices. Each recording is opened
-    once for all of its windows: windows are dealt out by path and sorted, so a task meets a path's windows one after
-    another, and a path with very many windows is no larger than they are. What fails comes back as an error row.
+def read_clips(
+    plan: DataFrame,
+    decoder: Callable[[str], tuple[int, Callable[[list[int]], np.ndarray]]],
+    shared_transform: Callable[[np.ndarray], np.ndarray] | None = None,
+    transform: Callable[[np.ndarray], np.ndarray] | None = None,
+    clips: int = 1,
+    stretch: int = 16_384,
+) -> DataFrame:
+    """plan (path, clip_id, frames array<long>) -> path, clip_id, part, data, shape, error.
+
+    decoder(path) opens a recording and gives its length and a reader of frame indices. Windows are dealt out by path
+    and by the stretch of so many frames that they begin in, and sorted: a task meets the windows of a stretch one
+    after another and opens the recording once for them, and a long recording with many windows is many tasks.
+    The frames of a row are read as one; shared_transform sees all of them, then they are cut into equally long
+    clips, a row each with its number as part, and transform sees each clip. What fails comes back as an error row.
     """
 
+    def made(opened, frames):
+        length, reader = opened
+        if not frames or max(frames) >= length or min(frames) < 0:
+            raise IndexError(f"frames outside of 0..{length - 1}")
+        data = reader(frames)
+        data = shared_transform(data) if shared_transform else data
+        each = len(data) // clips
+        parts = [data[k * each : (k + 1) * each] for k in range(clips)]
+        return [np.ascontiguousarray(transform(x) if transform else x) for x in parts]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, opened, failed = None, None, None
         for b in batches:
@@ -74,21 +93,30 @@ def read_clips(plan: DataFrame, decoder: Callable[[str], tuple[int, Callable[[li
                         opened = decoder(p)
                     except Exception as e:  # noqa: BLE001
                         failed = f"{type(e).__name__}: {e}"
-                data = shape = None
-                error = failed
+                rows, error = [], failed
                 if opened is not None:
-                    length, reader = opened
                     try:
-                        if not frames or max(frames) >= length or min(frames) < 0:
-                            raise IndexError(f"frames outside of 0..{length - 1}")
-                        clip_data = reader(frames)
-                        data, shape = np.ascontiguousarray(clip_data).tobytes(), list(clip_data.shape)
+                        rows = [(k, x.tobytes(), list(x.shape), None) for k, x in enumerate(made(opened, frames))]
                     except Exception as e:  # noqa: BLE001
                         error = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_pydict({"path": pa.array([p], pa.string()), "clip_id": pa.array([clip], pa.int64()), "data": pa.array([data], pa.binary()), "shape": pa.array([shape], pa.list_(pa.int32())), "error": pa.array([error], pa.string())})
+                for part, data, shape, error in rows or [(0, None, None, error)]:
+                    yield pa.RecordBatch.from_pydict({"path": pa.array([p], pa.string()), "clip_id": pa.array([clip], pa.int64()), "part": pa.array([part], pa.int32()), "data": pa.array([data], pa.binary()), "shape": pa.array([shape], pa.list_(pa.int32())), "error": pa.array([error], pa.string())})
+
+    asked = plan.select("path", F.col("clip_id").cast("long").alias("clip_id"), F.col("frames").cast("array<long>").alias("frames"))
+    dealt = asked.withColumn("_at", F.floor(F.array_min("frames") / stretch)).repartition("path", "_at").sortWithinPartitions("path", "_at", "clip_id").drop("_at")
+    return dealt.mapInArrow(run, "path string, clip_id long, part int, data binary, shape array<int>, error string")
+
+
+def collated(samples: DataFrame, batch: str, order: str, columns: list[str], collator: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
+    """One row per batch, of collator(its samples in order); batches are bounded, as indexing or count_batches cut them."""
+    names = StructType.fromDDL(schema).names
+    kind = dict(samples.dtypes)[batch]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = collator(pdf.sort_values(order, ignore_index=True)[columns])
+        return pd.DataFrame([{batch: pdf[batch].iloc[0]} | made])[[batch, *names]]
 
-    dealt = plan.select("path", F.col("clip_id").cast("long").alias("clip_id"), F.col("frames").cast("array<long>").alias("frames")).repartition("path").sortWithinPartitions("path", "clip_id")
-    return dealt.mapInArrow(run, "path string, clip_id long, data binary, shape array<int>, error string")
+    return samples.select(*dict.fromkeys([batch, order, *columns])).groupBy(batch).applyInPandas(run, f"{batch} {kind}, {schema}")
 
 
 def flat_map(df: DataFrame, function: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import extras, generators, manifests, metrics, vectors, windows  # noqa: F401
+from . import extras, files, generators, manifests, metrics, pixels, vectors, windows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -415,3 +415,44 @@ def test_clip_pipelines():
     assert len(views) == 3 and all(v.shape == (3, 4, 24, 24) for v in views) and not np.allclose(views[0], views[2])
     assert X.compose(X.flip, X.flip)(clip).tobytes() == clip.tobytes() and X.to_tensor_signed(clip).min() >= -1
     assert X.resize_positions(np.ones((16, 8)), (4, 4), (6, 6)).shape == (36, 8)
+
+
+def test_hue():
+    import colorsys
+
+    clip = np.random.default_rng(1).integers(0, 256, (1, 5, 5, 3))
+    clip[0, 0] = 77
+    for turn in (0.0, 0.1, -0.3, 0.5):
+        out = X.adjust_hue(clip, turn)
+        for p, q in zip(clip.reshape(-1, 3), out.reshape(-1, 3), strict=True):
+            h, s, v = colorsys.rgb_to_hsv(*(p / 255))
+            assert np.allclose(np.array(colorsys.hsv_to_rgb((h + turn) % 1, s, v)) * 255, q, atol=0.01)
+    same = X.color_jitter(clip, ["hue", "brightness"], {"hue": 0.2})
+    assert np.allclose(same, X.adjust_hue(clip, 0.2))
+
+
+def test_geometric_fill():
+    clip = np.arange(2 * 3 * 3 * 1, dtype=np.uint8).reshape(2, 3, 3, 1)
+    assert (X.affine(clip, move_x=1)[:, :, -1] == X.FILL).all()
+    assert (X.affine(clip, move_x=1, fill=0)[:, :, -1] == 0).all()
+    assert (X.rotate(clip, 90, bilinear=True) == X.rotate(clip, 90)).all()
+    half = X.affine(clip.astype(float), move_x=0.5, bilinear=True)
+    assert np.allclose(half[:, :, :2], (clip[:, :, :2].astype(float) + clip[:, :, 1:]) / 2)
+
+
+def test_clip_transforms_and_collator(spark):
+    plan = spark.createDataFrame([("a", 1, [0, 1, 2, 3]), ("a", 2, [40, 41, 42, 43]), ("a", 3, [98, 99, 100, 101]), ("b", 4, [0, 1])], "path string, clip_id int, frames array<int>")
+
+    def decoder(path):
+        if path == "b":
+            raise OSError("broken")
+        return 100, lambda at: np.array(at, np.uint8).reshape(-1, 1, 1, 1)
+
+    made = hooks.read_clips(plan, decoder, shared_transform=lambda x: x[::-1], transform=lambda x: x + 100, clips=2, stretch=32)
+    got = {(r.clip_id, r.part): r for r in made.collect()}
+    assert list(got[1, 0].data) == [103, 102] and list(got[1, 1].data) == [101, 100] and list(got[2, 0].data) == [143, 142]
+    assert got[1, 0].shape == [2, 1, 1, 1] and "frames outside" in got[3, 0].error and "broken" in got[4, 0].error and len(got) == 6
+
+    rows = spark.createDataFrame([(0, 2, 5.0), (0, 1, 4.0), (1, 3, 7.0)], "batch int, id int, x double")
+    out = hooks.collated(rows, "batch", "id", ["x"], lambda p: {"xs": p["x"].tolist(), "n": len(p)}, "xs array<double>, n long")
+    assert sorted(map(tuple, out.collect())) == [(0, [4.0, 5.0], 2), (1, [7.0], 1)]
