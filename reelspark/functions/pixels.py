@@ -268,6 +268,25 @@ def eval_views(clip: np.ndarray, size: int, views: int, mean=MEAN, std=STD) -> l
     return [normalize(to_tensor(crop(small, y, x, size, size)), mean, std) for y, x in cuts]
 
 
-def resize_positions(table: np.ndarray, grid: tuple[int, int], new: tuple[int, int]) -> np.ndarray:
-    """A position table [H * W, D] interpolated to another grid."""
-    return resize(table.reshape(1, *grid, -1), *new).reshape(new[0] * new[1], -1)
+def _interpolation(n: int, m: int, scale: float, cubic: bool) -> np.ndarray:
+    """m x n weights of linear or cubic interpolation (a = -0.75), pixel centres at halves, edges repeated."""
+    at = (np.arange(m) + 0.5) / scale - 0.5
+    at = at if cubic else np.clip(at, 0, n - 1)
+    taps = np.floor(at)[:, None] + (np.arange(-1, 3) if cubic else np.arange(2))
+    far = np.abs(at[:, None] - taps)
+    if cubic:
+        weights = np.where(far <= 1, (1.25 * far - 2.25) * far**2 + 1, -0.75 * (((far - 5) * far + 8) * far - 4))
+    else:
+        weights = 1 - far
+    out = np.zeros((m, n))
+    np.add.at(out, (np.arange(m)[:, None], np.clip(taps, 0, n - 1).astype(int)), weights)
+    return out
+
+
+def resize_positions(table: np.ndarray, grid: tuple[int, ...], new: tuple[int, ...], cubic: bool = False) -> np.ndarray:
+    """A position table [product of grid, D] interpolated along each axis of the grid; with cubic by one scale for all."""
+    out = np.asarray(table, dtype=float).reshape(*grid, -1)
+    same = (np.prod(new) / np.prod(grid)) ** (1 / len(grid))
+    for axis, (n, m) in enumerate(zip(grid, new, strict=True)):
+        out = np.moveaxis(np.tensordot(_interpolation(n, m, same if cubic else m / n, cubic), out, axes=(1, axis)), 0, axis)
+    return out.reshape(int(np.prod(new)), -1)

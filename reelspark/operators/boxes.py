@@ -47,9 +47,17 @@ def center_crop(height: Column, width: Column, h: int, w: int) -> tuple[Column,
     return F.rint((height - h) / 2.0).cast("int"), F.rint((width - w) / 2.0).cast("int")
 
 
-def resized_crop(height: Column, width: Column, scale: tuple[float, float], ratio: tuple[float, float], tries: int, *key) -> Column:
-    """struct(i, j, h, w): the first of tries draws of area and log-aspect that fits, else a central crop.
+def short_side_jitter(height: Column, width: Column, low: int, high: int, *key, inverse: bool = False) -> tuple[Column, Column]:
+    """short_side at a size drawn between low and high; inverse draws evenly between 1 / high and 1 / low."""
+    u = uniform(*key, "short")
+    size = F.rint(1.0 / (1.0 / high + (1.0 / low - 1.0 / high) * u) if inverse else low + (high - low) * u)
+    return short_side(height, width, size)
 
+
+def resized_crop(height: Column, width: Column, scale: tuple[float, float], ratio: tuple[float, float], tries: int, *key, log_scale: bool = True, switch: bool = False) -> Column:
+    """struct(i, j, h, w): the first of tries draws of area and aspect that fits, else a central crop.
+
+    The aspect is drawn by its logarithm, or as it is without log_scale; with switch every second draw swaps h and w.
     The draws are unrolled to a coalesce, so there is no loop and no retry state.
     """
     from math import log
@@ -57,8 +65,13 @@ def resized_crop(height: Column, width: Column, scale: tuple[float, float], rati
     found = []
     for k in range(tries):
         area = height * width * (scale[0] + (scale[1] - scale[0]) * uniform(*key, k, "area"))
-        aspect = F.exp(log(ratio[0]) + (log(ratio[1]) - log(ratio[0])) * uniform(*key, k, "ratio"))
+        lo, hi = (log(r) for r in ratio) if log_scale else ratio
+        aspect = lo + (hi - lo) * uniform(*key, k, "ratio")
+        aspect = F.exp(aspect) if log_scale else aspect
         w, h = F.rint(F.sqrt(area * aspect)).cast("int"), F.rint(F.sqrt(area / aspect)).cast("int")
+        if switch:
+            turned = uniform(*key, k, "switch") < 0.5
+            w, h = F.when(turned, h).otherwise(w), F.when(turned, w).otherwise(h)
         fits = (w > 0) & (w <= width) & (h > 0) & (h <= height)
         i = F.floor(uniform(*key, k, "i") * (height - h + 1)).cast("int")
         j = F.floor(uniform(*key, k, "j") * (width - w + 1)).cast("int")

@@ -123,6 +123,27 @@ def short_side_resize(spark, d):
     return table(spark, d, "part").select("p_partkey", h.alias("new_h"), w.alias("new_w"))
 
 
+def _jitter_sql(size: str) -> str:
+    u = U("'5:' || p_partkey || ':short'")
+    return f"""SELECT p_partkey, CASE WHEN h >= w THEN trunc(s * h / w)::INT ELSE s::INT END AS new_h, CASE WHEN h >= w THEN s::INT ELSE trunc(s * w / h)::INT END AS new_w
+    FROM (SELECT p_partkey, (p_size + 10)::DOUBLE AS h, p_retailprice::DOUBLE AS w, round_even({size.format(u=u)}, 0) AS s FROM part)"""
+
+
+def _jitter(spark, d, inverse: bool):
+    h, w = B.short_side_jitter(F.col("p_size") + F.lit(10.0), F.col("p_retailprice").cast("double"), 256, 320, 5, F.col("p_partkey"), inverse=inverse)
+    return table(spark, d, "part").select("p_partkey", h.cast("int").alias("new_h"), w.cast("int").alias("new_w"))
+
+
+@query(_jitter_sql("256 + 64 * {u}"))
+def short_side_jitter(spark, d):
+    return _jitter(spark, d, inverse=False)
+
+
+@query(_jitter_sql("1.0::DOUBLE / (1.0::DOUBLE / 320 + (1.0::DOUBLE / 256 - 1.0::DOUBLE / 320) * {u})"))
+def short_side_jitter_inverse(spark, d):
+    return _jitter(spark, d, inverse=True)
+
+
 @query("""SELECT p_partkey, CASE WHEN h > w THEN h - 20 ELSE ceil((h - 20) / 2.0)::INT END AS y, CASE WHEN h > w THEN ceil((w - 20) / 2.0)::INT ELSE w - 20 END AS x, round_even((h - 16) / 2.0, 0)::INT AS cy FROM (SELECT p_partkey, p_size + 20 AS h, (p_partkey % 70 + 20)::INT AS w FROM part)""")
 def crop_offsets(spark, d):
     p = table(spark, d, "part").select("p_partkey", (F.col("p_size") + 20).alias("h"), (F.col("p_partkey") % 70 + 20).cast("int").alias("w"))
@@ -130,22 +151,35 @@ def crop_offsets(spark, d):
     return p.select("p_partkey", y.alias("y"), x.alias("x"), cy.alias("cy"))
 
 
-def _rrc_sql() -> str:
+def _rrc_sql(linear: bool = False) -> str:
+    """With linear the aspect is drawn as it is, and every second draw swaps height and width."""
     tries = []
+    size = "CASE WHEN turned THEN {1} ELSE {0} END"
+    w, h = "round_even(sqrt(area * aspect), 0)::INT", "round_even(sqrt(area / aspect), 0)::INT"
+    w, h = (size.format(w, h), size.format(h, w)) if linear else (w, h)
     for k in range(3):
         u = lambda n, k=k: U(f"'2:' || p_partkey || ':{k}:{n}'")
-        tries.append(f"SELECT p_partkey, height, width, {k} AS k, height * width * (0.3 + (1.0 - 0.3) * {u('area')}) AS area, exp(ln(0.75::DOUBLE) + (ln(1.35::DOUBLE) - ln(0.75::DOUBLE)) * {u('ratio')}) AS aspect, {u('i')} AS ui, {u('j')} AS uj FROM s")
+        tries.append(f"SELECT p_partkey, height, width, {k} AS k, height * width * (0.3 + (1.0 - 0.3) * {u('area')}) AS area, {f"0.75::DOUBLE + (1.35::DOUBLE - 0.75::DOUBLE) * {u('ratio')}" if linear else f"exp(ln(0.75::DOUBLE) + (ln(1.35::DOUBLE) - ln(0.75::DOUBLE)) * {u('ratio')})"} AS aspect, {u('switch')} < 0.5 AS turned, {u('i')} AS ui, {u('j')} AS uj FROM s")
     return f"""WITH s AS (SELECT p_partkey, (p_size + 30)::INT AS height, (p_partkey % 90 + 30)::INT AS width FROM part), t AS ({" UNION ALL ".join(tries)}),
-d AS (SELECT *, round_even(sqrt(area * aspect), 0)::INT AS w, round_even(sqrt(area / aspect), 0)::INT AS h FROM t),
+d AS (SELECT *, {w} AS w, {h} AS h FROM t),
 f AS (SELECT p_partkey, floor(ui * (height - h + 1))::INT AS i, floor(uj * (width - w + 1))::INT AS j, h, w FROM d WHERE w <= width AND h <= height AND w > 0 AND h > 0 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY k) = 1),
 c AS (SELECT p_partkey, height, width, least(CASE WHEN width / height::DOUBLE < 0.75 THEN round_even(width / 0.75::DOUBLE, 0)::INT ELSE height END, height) AS h, least(CASE WHEN width / height::DOUBLE > 1.35 THEN round_even(height * 1.35::DOUBLE, 0)::INT ELSE width END, width) AS w FROM s)
 SELECT c.p_partkey, coalesce(f.i, (c.height - c.h) // 2)::INT AS i, coalesce(f.j, (c.width - c.w) // 2)::INT AS j, coalesce(f.h, c.h) AS h, coalesce(f.w, c.w) AS w FROM c LEFT JOIN f USING (p_partkey)"""
 
 
+def _rrc(spark, d, **options):
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") + 30).cast("int").alias("height"), (F.col("p_partkey") % 90 + 30).cast("int").alias("width"))
+    return p.select("p_partkey", B.resized_crop(F.col("height"), F.col("width"), (0.3, 1.0), (0.75, 1.35), 3, 2, F.col("p_partkey"), **options).alias("b")).select("p_partkey", "b.i", "b.j", "b.h", "b.w")
+
+
 @query(_rrc_sql())
 def rrc_params(spark, d):
-    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") + 30).cast("int").alias("height"), (F.col("p_partkey") % 90 + 30).cast("int").alias("width"))
-    return p.select("p_partkey", B.resized_crop(F.col("height"), F.col("width"), (0.3, 1.0), (0.75, 1.35), 3, 2, F.col("p_partkey")).alias("b")).select("p_partkey", "b.i", "b.j", "b.h", "b.w")
+    return _rrc(spark, d)
+
+
+@query(_rrc_sql(linear=True))
+def rrc_params_switched(spark, d):
+    return _rrc(spark, d, log_scale=False, switch=True)
 
 
 @query("""WITH c AS (SELECT doc_id, 'rand-m' || doc_id % 11 || '-n' || doc_id % 4 + 1 || '-mstd0.' || doc_id % 10 || '-inc' || doc_id % 2 AS s FROM documents)

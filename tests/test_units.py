@@ -456,3 +456,16 @@ def test_clip_transforms_and_collator(spark):
     rows = spark.createDataFrame([(0, 2, 5.0), (0, 1, 4.0), (1, 3, 7.0)], "batch int, id int, x double")
     out = hooks.collated(rows, "batch", "id", ["x"], lambda p: {"xs": p["x"].tolist(), "n": len(p)}, "xs array<double>, n long")
     assert sorted(map(tuple, out.collect())) == [(0, [4.0, 5.0], 2), (1, [7.0], 1)]
+
+
+def test_resize_positions():
+    ramp = np.stack(np.meshgrid(np.arange(4), np.arange(6), np.arange(6), indexing="ij"), axis=-1).reshape(-1, 3).astype(float)
+    out = X.resize_positions(ramp, (4, 6, 6), (8, 3, 12)).reshape(8, 3, 12, 3)
+    assert np.allclose(out[:, 0, 0, 0], [0, 0.25, 0.75, 1.25, 1.75, 2.25, 2.75, 3]) and np.allclose(out[0, :, 0, 1], [0.5, 2.5, 4.5])
+    assert np.allclose(X.resize_positions(ramp, (4, 6, 6), (4, 6, 6)), ramp)
+    flat = np.full((16, 2), 3.0)
+    assert np.allclose(X.resize_positions(flat, (4, 4), (7, 7), cubic=True), 3.0)
+    line = np.repeat(np.arange(8.0), 8)[:, None]
+    inner = X.resize_positions(line, (8, 8), (16, 16), cubic=True).reshape(16, 16)[4:12, 8]
+    assert np.allclose(inner, np.arange(4, 12) / 2 - 0.25, atol=0.05)  # this kernel bends a ramp slightly
+    assert np.allclose(X.resize_positions(line, (8, 8), (8, 8), cubic=True), line)
