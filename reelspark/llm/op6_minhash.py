@@ -44,6 +44,8 @@ BUCKET_BITS = 7
 COLLISION = 0.1699 / (1 << MANTISSA)
 #: Members of a cluster that one tile of full sets holds.
 SET_TILE = 256
+#: A class of more copies than this fraction of all rows is broadcast to its rows; there are fewer such classes than this.
+HOT_CLASSES = 10_000
 #: An estimate may fall this many standard deviations below the threshold before its pair goes unconfirmed.
 DEVIATIONS = 6.0
 _PROBES = np.random.default_rng(6).integers(0, REGISTERS, size=(2048, REGISTERS))
@@ -269,7 +271,7 @@ class NearDuplicates:
         self.docs, self.words, self.percent, self.threshold = docs.select("doc_id", "text"), shingle_words, percent, percent / 100
         self.profile = settled(stage(self.docs.mapInArrow(_profile(shingle_words), "doc_id long, n_shingles long, set_key long, set_check long, sketch binary")), "set_key", "set_check")
         some = self.profile.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-        self.classes = stage(some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+        self.classes = stage(some.groupBy("set_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
 
     def links(self) -> DataFrame:
         """Confirmed links (a, b) between classes: enough of them for the components, none that does not hold."""
@@ -325,10 +327,17 @@ class NearDuplicates:
         comp = stage(connected_components(stage(self.links())).withColumnRenamed("node", "set_key"))
         named = self.classes.select("set_key", "doc_id").join(comp, "set_key").groupBy("component").agg(F.min("doc_id").alias("component_id"))
         found = comp.join(named, "component").select("set_key", "component_id")
-        classes = self.classes.select("set_key", F.col("doc_id").alias("_least")).join(found, "set_key", "left").select("set_key", F.coalesce("component_id", "_least").alias("component_id"))
-        rows = self.profile.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-        return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        own = self.classes.select("set_key", "copies", F.col("doc_id").alias("_least"))
+        classes = stage(own.join(found, "set_key", "left").select("set_key", "copies", F.coalesce("component_id", "_least").alias("component_id")))
+        rows = self.profile.select("doc_id", "n_shingles", "set_key")
+        # classes of many copies are looked up where their rows lie: fewer than HOT_CLASSES can have that share of all rows
+        many = F.col("copies") * HOT_CLASSES > self.profile.count()
+        member = F.col("doc_id").isNotNull() & F.col("set_key").isNotNull()
+        tried = rows.where(member).join(F.broadcast(classes.where(many).drop("copies")), "set_key", "left")
+        rest = tried.where("component_id IS NULL").drop("component_id").join(classes.where(~many).drop("copies"), "set_key")
+        alone = rows.where(~member).withColumn("component_id", F.col("doc_id"))
+        every = tried.where("component_id IS NOT NULL").unionByName(rest).unionByName(alone)
+        return every.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:

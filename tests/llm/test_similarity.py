@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -121,8 +122,10 @@ def near_rows():
     return rows
 
 
-def test_near_copies(spark, tmp_path):
-    rows = near_rows()
+@pytest.mark.parametrize("hot", [op6_minhash.HOT_CLASSES, 40, 0])
+def test_near_copies(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(op6_minhash, "HOT_CLASSES", hot)
+    rows = near_rows() + [(3000 + i, "copied " + X.prose(40, 9), "en", "a") for i in range(60)] + [(None, "copied " + X.prose(40, 9), "en", "a")] * 20
     got = collections.Counter(tuple(r) for r in op6_minhash.op6_minhash_dedup(spark, X.write(spark, tmp_path, rows)).collect())
     assert got == brute_near(rows, 2)
 
