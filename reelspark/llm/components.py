@@ -1,9 +1,9 @@
 """Distributed connected components, and pairs of tiles for comparing the members of a bucket.
 
 Components: each partition of edges is first contracted by a local union-find to a star forest, then large-star
-and small-star steps alternate until nothing changes. No step gathers a node's neighbours in one place: minima are
-partial aggregates, and the joins back are equi-joins that AQE may split where a node is hot. Every round is staged,
-and the one before it is deleted then.
+and small-star steps alternate until all that is left are stars, each node linked to its least one alone. No step
+gathers a node's neighbours in one place: minima are partial aggregates, and the joins back are equi-joins that AQE
+may split where a node is hot. Every round is staged, and the one before it is deleted then.
 """
 
 from __future__ import annotations
@@ -46,6 +46,12 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([r for _, r in out], pa.int64())], ["u", "v"])
 
 
+def _is_stars(e: DataFrame) -> bool:
+    """Whether no node of the edges (u, v), u > v, has two lower neighbours, or a lower and a higher one."""
+    ends = e.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 1 OR (up = 1 AND n > 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge in edges (two long columns); component is its least node.
 
@@ -55,19 +61,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v")
     path = scratch(edges.sparkSession)
     e = stage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_contract, EDGE).distinct(), path)
-    mark = None
-    while True:
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v") % 1000003)).first()
-        if now[0] == 0 or now == mark:
-            break
-        mark = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    both = F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    while not _is_stars(e):
+        ends = e.select(both)
+        least = ends.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        # one exchange by the larger end serves the distinct, the minima and the join; a node has few lower neighbours left
+        large = ends.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(lower, "u")
+        small = large.join(lower, "u").select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
         path, before = scratch(edges.sparkSession), path
-        e = stage(joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), path)
+        e = stage(small.where("u <> v").distinct(), path)
         discard(edges.sparkSession, before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

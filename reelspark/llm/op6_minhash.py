@@ -324,7 +324,7 @@ class NearDuplicates:
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept of every row."""
-        comp = stage(connected_components(stage(self.links())).withColumnRenamed("node", "set_key"))
+        comp = connected_components(stage(self.links())).withColumnRenamed("node", "set_key")
         named = self.classes.select("set_key", "doc_id").join(comp, "set_key").groupBy("component").agg(F.min("doc_id").alias("component_id"))
         found = comp.join(named, "component").select("set_key", "component_id")
         own = self.classes.select("set_key", "copies", F.col("doc_id").alias("_least"))
