@@ -2,8 +2,8 @@
 
 Components: each partition of edges is first contracted by a local union-find to a star forest, then large-star
 and small-star steps alternate until all that is left are stars, each node linked to its least one alone. No step
-gathers a node's neighbours in one place: minima are partial aggregates, and the joins back are equi-joins that AQE
-may split where a node is hot. Every round is staged, and the one before it is deleted then.
+holds a node's neighbours in memory: minima are partial aggregates. The join of the edges with the minima sorts, and
+spills, the edges of a hot node in one task. Every round is staged, and the one before it is deleted then.
 """
 
 from __future__ import annotations
