@@ -23,7 +23,7 @@ import functools
 import itertools
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, scratch, stage, table
+from .common import lean, scratch, slices, stage, table
 
 FILE_IDS, BLOCK_IDS, MAX_BITS = 1 << 19, 1 << 9, 18
-#: Bytes of text that are encoded together.
-PIECE_BYTES = 8 << 20
+#: Bytes of text that are encoded together; a worker holds some 50 times as much meanwhile.
+PIECE_BYTES = 2 << 20
 MAGIC, HEAD = b"HUF2", "<4sIIQQII"
 
 
@@ -60,7 +60,10 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     ends = np.cumsum(lengths)
     if not len(ends):
         return flat[:0]
-    return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
+    kind = np.int32 if max(len(flat), int(ends[-1])) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    at += np.arange(ends[-1], dtype=kind)
+    return flat[at]
 
 
 class Encoder:
@@ -73,7 +76,8 @@ class Encoder:
     kept. A tokenizer without these properties, which are tried on examples, encodes whole texts.
     """
 
-    KEEP = 600_000
+    #: Parts whose ids are kept, and new ones that go to the tokenizer together: what it returns is many times their size.
+    KEEP, TOGETHER = 400_000, 10_000
     PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
     TRIES = ("Ab \0\n cD", "Élan vît, ÀÖØöøÿß. The end. (x) Don't, 'S it's: <|endoftext|> a_b É1é x--", " a  b\n\nc, ")
 
@@ -100,7 +104,7 @@ class Encoder:
         self.starts, self.lengths = self.starts[:n].copy(), self.lengths[:n].copy()
         self.flat = self.flat[: int(self.starts[-1] + self.lengths[-1])].copy()
 
-    def _learn(self, names: list[str], ids: list[list[int]]) -> None:
+    def _learn(self, names: Sequence[str], ids: list[list[int]]) -> None:
         lengths = np.array([len(x) for x in ids], dtype=np.int64)
         starts = len(self.flat) + np.cumsum(lengths) - lengths
         self.rows.update(zip(names, range(len(self.rows), len(self.rows) + len(names)), strict=True))
@@ -112,9 +116,9 @@ class Encoder:
         enc = parts.dictionary_encode()
         names = enc.dictionary.to_pylist()
         new = [n for n in names if n and n not in self.rows]
-        if new:
-            tokenize = self.model.tokenize
-            self._learn(new, [[t.id for t in tokenize(n if n.isascii() else n.encode().decode("latin-1").translate(BYTES))] for n in new])
+        tokenize = self.model.tokenize
+        for some in itertools.batched(new, self.TOGETHER):
+            self._learn(some, [[t.id for t in tokenize(n if n.isascii() else n.encode().decode("latin-1").translate(BYTES))] for n in some])
         rows = np.array([self.rows[n] if n else -1 for n in names] + [-1], dtype=np.int64)
         return rows[enc.indices.fill_null(len(names)).to_numpy()]
 
@@ -122,14 +126,14 @@ class Encoder:
         """Rows of whole pieces; their keys begin with a space, which no part does."""
         new = [p for p in pieces if p and " " + p not in self.rows]
         odd, rest = [p for p in new if "\0" in p], [p for p in new if "\0" not in p]
-        if rest:
+        for some in itertools.batched(rest, self.TOGETHER):
             found: list[list[int]] = [[]]
-            for i in self.ids(" \0 ".join(rest)):
+            for i in self.ids(" \0 ".join(some)):
                 if i == self.part:
                     found.append([])
                 else:
                     found[-1].append(i)
-            self._learn([" " + p for p in rest], found)
+            self._learn([" " + p for p in some], found)
         if odd:
             self._learn([" " + p for p in odd], [self.ids(p) for p in odd])
         return np.array([self.rows[" " + p] if p else -1 for p in pieces], dtype=np.int64)
@@ -284,7 +288,7 @@ def _tokenise(path: str, end_id: int):
 def _count(kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
-        for b in batches:
+        for b in slices(batches, 1 << 16):
             c = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype=kind))
             if len(c) > len(total):
                 total = np.concatenate([total, np.zeros(len(c) - len(total), dtype=np.int64)])

@@ -354,6 +354,29 @@ def test_encoder_without_shortcuts():
     assert n.tolist() == [len(enc.ids("a b")) + 1, 1] and ids[-1] == 2
 
 
+def test_encoder_gives_the_tokenizer_few_pieces_at_a_time(monkeypatch):
+    path = op10_tokens.tokenizer_path()
+    enc, whole = op10_tokens.Encoder(path), op10_tokens.Encoder(path)
+    whole.part = None
+    monkeypatch.setattr(op10_tokens.Encoder, "TOGETHER", 7)
+    texts = pa.array([" ".join(f"x{i}é1 w{i * 7}-{'ab' * (i % 5)} {i}\0" for i in range(200)), None, "x3é1 end", "日本 x4é1"])
+    sent, ids = [], enc.ids
+    monkeypatch.setattr(enc, "ids", lambda text: sent.append(text.count(" \0 ") + 1) or ids(text))
+    (found, n), (want, m) = enc.encode(texts, 2), whole.encode(texts, 2)
+    assert found.tolist() == want.tolist() and n.tolist() == m.tolist()
+    assert max(sent) == 7
+
+
+def test_tokenise_takes_pieces_of_bounded_size():
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(3000)), "text": pa.array([f"w{i} " + "word " * 400 for i in range(3000)])})
+    seen, enc = [], op10_tokens.encoder(op10_tokens.tokenizer_path())
+    out = list(op10_tokens._tokenise(op10_tokens.tokenizer_path(), 2)(iter([rows])))
+    for b in out:
+        seen += b.column("doc_id").to_pylist()
+    assert seen == list(range(3000)) and len(out) >= 3
+    assert np.frombuffer(out[-1].column("ids")[-1].as_py(), enc.kind).tolist() == [*enc.ids(f"w2999 {'word ' * 400}"), 2]
+
+
 def test_results_match_between_duckdb_and_spark_on_awkward_rows(spark, tmp_path):
     d = X.write(spark, tmp_path, [r for r in X.texts() if r[0] not in (None, 20)])
     for name in ("op7_license_scan", "op9_line_dedup"):
