@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, mix64, slices, stage, table
+from .common import discard, lean, mix64, scratch, slices, stage, swept, table
 
 WINDOW, GRAM = 200, 64
 #: Windows of one text that are looked at together, and bytes of text gathered before they are.
@@ -463,11 +463,15 @@ class SuffixDedup:
     def intervals(self) -> tuple[DataFrame, DataFrame]:
         """((rid, lo, hi) under repeated windows, packed texts of the rows that may have some)."""
         runs = self.profile.select("rid", F.inline(F.arrays_zip("place", "gram")))
-        # staged, so that both sides of the join are plain exchanges and AQE can split a hot gram
-        again = stage(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.when(F.col("n") > HOT, HOT_FLAG).otherwise(0).alias("flag")))
-        kept = runs.join(again, "gram").groupBy("rid").agg(F.collect_set(F.col("place") + F.col("flag")).alias("runs"))
         ranges = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        sent = stage(self.rows.join(kept, "rid").select("rid", "body", "runs").mapInArrow(_send(self.window, ranges), "part int, block binary, rid binary, lo int, hi int, text binary"))
+        at, kept_at = scratch(self.spark), scratch(self.spark)
+        with swept(self.spark):  # the grams' shuffles are gone before the texts move, and the texts' before the blocks do
+            # staged, so that both sides of the join are plain exchanges and AQE can split a hot gram
+            again = stage(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.when(F.col("n") > HOT, HOT_FLAG).otherwise(0).alias("flag")), at)
+            kept = stage(runs.join(again, "gram").groupBy("rid").agg(F.collect_set(F.col("place") + F.col("flag")).alias("runs")), kept_at)
+            discard(self.spark, at)
+            sent = stage(self.rows.join(kept, "rid").select("rid", "body", "runs").mapInArrow(_send(self.window, ranges), "part int, block binary, rid binary, lo int, hi int, text binary"))
+            discard(self.spark, kept_at)
         merged = sent.where("part IS NOT NULL").select("part", "block").repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_merge(self.window), "rid binary, lo int, hi int")
         return merged.unionByName(sent.where("lo IS NOT NULL").select("rid", "lo", "hi")), sent.where("text IS NOT NULL").select("rid", "text")
 

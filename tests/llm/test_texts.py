@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.llm import catalogue, op1_suffix_dedup, op2_secrets, op7_licenses, op8_mix, op9_line_dedup, op10_tokens
+from reelspark.llm import catalogue, common, op1_suffix_dedup, op2_secrets, op7_licenses, op8_mix, op9_line_dedup, op10_tokens
 from reelspark.llm.license_texts import TEXTS
 
 from ..harness import duck, same, spark_rows
@@ -57,6 +57,16 @@ def test_suffix_dedup(spark, tmp_path, monkeypatch, hot):
     assert got == want
 
 
+def test_suffix_dedup_leaves_no_shuffle_and_no_stage_behind(spark):
+    files = lambda: {f for f in (str(x) for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles())) if f.endswith(".data")}
+    rows = [(i, X.prose(80, i % 20), "en", "a") for i in range(60)]
+    mark, before, setting = len(common._MADE), files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    found, texts = op1_suffix_dedup.SuffixDedup(X.documents(spark, rows)).intervals()
+    assert files() <= before and len(common._MADE) - mark == 2  # profiles, and what is sent
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert found.count() and texts.count() == 60
+
+
 def test_bands_cover_all_offsets():
     cuts = op1_suffix_dedup.bands(200)
     assert [o for lo, hi in cuts for o in range(lo, hi)] == list(range(137)) and cuts[0] == (0, 1) and cuts[-1] == (136, 137)
